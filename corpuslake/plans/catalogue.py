@@ -1,0 +1,4 @@
+"""Every query of the engine and its DuckDB SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}

@@ -6,9 +6,10 @@
 2. Documents of equal sets collapse to one representative before anything is paired.
 3. ``BANDS`` bands of ``ROWS`` bins hash to buckets. In every bucket each member is paired with the bucket's smallest id only
    (a star), so pairs are linear in bucket sizes. Stars are confirmed on full shingle sets.
-4. Members of a bucket that the confirmed stars did not join to the bucket's centre are paired with every member of another component
-   in that bucket and confirmed as well. So no candidate link between two components is lost, whatever the size of a bucket, and
-   none inside a component is needed. A pair at similarity 0.75 shares no bucket with probability (1 - 0.75^4)^40 < 3e-7.
+4. Buckets that still hold several components are cut into blocks, and pairs of blocks (tiles) look, in memory, at every pair across
+   components: large tiles first drop pairs whose signatures agree on fewer bins than five deviations below the similarity, all compare full sets. Only links
+   that join components leave a tile. So no candidate link between components is lost, whatever the size of a bucket, no pair is a
+   row, and none inside a component is needed. A pair at similarity 0.75 shares no bucket with probability (1 - 0.75^4)^40 < 3e-7.
 
 Confirming streams sorted rows: partitions hold (centre, salt) runs, the centre's text first, so that one shingle set is held at a time.
 
@@ -31,8 +32,9 @@ from corpuslake.llm.common import WordIds, as_bytes, mix, need, window_ids, word
 from corpuslake.llm.components import components
 from corpuslake.session import free_shuffles, keep
 
-#: Words in a shingle; similarity as a fraction; bands and bins in a band; members for each copy of a centre.
-WIDTH, NUMERATOR, DENOMINATOR, BANDS, ROWS, SALT_ROWS = 5, 75, 100, 40, 4, 50
+#: Words in a shingle; similarity as a fraction; bands and bins in a band; members for each copy of a centre;
+#: members in a block of a bucket; rows up to which a tile compares all its pairs on full sets at once.
+WIDTH, NUMERATOR, DENOMINATOR, BANDS, ROWS, SALT_ROWS, BLOCK, SMALL = 5, 75, 100, 40, 4, 50, 256, 48
 BINS = BANDS * ROWS
 _known = WordIds()
 
@@ -135,6 +137,76 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(_confirm, "a bigint, b bigint")
 
 
+def _tile(bucket: int, rows: list[tuple[int, int, int, bytes]], same: bool) -> list[tuple[int, int]]:
+    """Links between components among the rows (side, id, label, text) of one tile: enough to join all that any of its links join."""
+    ids, labels, sets = [r[1] for r in rows], [r[2] for r in rows], [shingles(r[3]) for r in rows]
+    root = {x: x for x in labels}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    left = [i for i, r in enumerate(rows) if r[0] == 0]
+    right = left if same else [i for i, r in enumerate(rows) if r[0] == 1]
+    sizes = np.array([len(x) for x in sets])
+    wide = len(rows) > SMALL
+    if wide:
+        sigs = np.stack([signature(x) for x in sets])
+        keys = np.stack([buckets_of(x) for x in sigs])
+        band = int(np.nonzero(keys[0] == bucket)[0][0])
+        low = sigs.astype(np.uint32)
+    at, out = np.array(right, np.intp), []
+    for i in left:
+        n = np.minimum(sizes[at], sizes[i])
+        fits = (DENOMINATOR * n >= NUMERATOR * np.maximum(sizes[at], sizes[i])) & (at > i if same else True)
+        if wide:
+            # A pair belongs to the first band it shares; its agreement lies within five deviations of its similarity.
+            fits &= (keys[at] == keys[i]).argmax(axis=1) == band
+            j = at[fits]
+            agreed = (low[j] == low[i]).mean(axis=1)
+            least = NUMERATOR / DENOMINATOR - 5 * np.sqrt(0.1875 / np.minimum(BINS, n[fits]))
+            j = j[agreed >= least]
+        else:
+            j = at[fits]
+        for k in j.tolist():
+            a, b = find(labels[i]), find(labels[k])
+            if a != b and similar(sets[i], sets[k]):
+                root[max(a, b)] = min(a, b)
+                out.append((ids[i], ids[k]))
+    return out
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (bucket, i, j), a tile at a time."""
+    now, rows = None, []
+
+    def done() -> pa.RecordBatch:
+        links = _tile(now[0], rows, now[1] == now[2]) if now is not None else []
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+    for b in batches:
+        for bucket, i, j, side, id_, label, text in zip(*[b.column(c).to_pylist() for c in ("bucket", "i", "j", "side", "id", "label")], as_bytes(b.column("text"))):
+            if (bucket, i, j) != now:
+                yield done()
+                now, rows = (bucket, i, j), []
+            rows.append((side, id_, label, text))
+    yield done()
+
+
+def _across(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between components in the same bucket, ``a, b``; rows: bucket, blocks, id, label.
+
+    A bucket's members are dealt by hash to blocks of about ``BLOCK``, and a tile is a pair of blocks. Pairs are looked at inside a tile, in
+    memory, and only links that join something leave it: rows stay linear in the members of a bucket.
+    """
+    mine = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = mine.select("bucket", F.least("mine", "theirs").alias("i"), F.greatest("mine", "theirs").alias("j"), F.when(F.col("mine") <= F.col("theirs"), 0).otherwise(1).alias("side"), "id", "label")
+    full = tiles.join(texts, "id").select("bucket", "i", "j", "side", "id", "label", "text")
+    return full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_tiles, "a bigint, b bigint")
+
+
 def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; see the module for the method and the cases."""
     spark = docs.sparkSession
@@ -142,9 +214,9 @@ def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     # Equal sets: one representative stands for all of them.
     classes = keep(signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     of_rep = signed.where("digest IS NOT NULL").join(classes, (F.col("doc_id") == F.col("rep")) & signed.digest.eqNullSafe(classes.digest), "left_semi")
-    rows = of_rep.select(F.col("doc_id").alias("id"), "n_shingles", F.explode("buckets").alias("bucket"))
+    rows = of_rep.select(F.col("doc_id").alias("id"), F.explode("buckets").alias("bucket"))
     centres = keep(rows.groupBy("bucket").agg(F.min("id").alias("c"), F.count("*").alias("n"), F.max("id").alias("top")).where("c < top").select("bucket", "c", "n"), "centres")
-    members = keep(rows.join(centres, "bucket").select("bucket", "id", "n_shingles", "c", "n"), "members")
+    members = keep(rows.join(centres, "bucket").select("bucket", "id", "c", "n"), "members")
     free_shuffles(spark)
     stars = members.where("id <> c").groupBy("c", F.col("id").alias("m")).agg(F.max("n").alias("n"))
     wanted = members.select("id").distinct()
@@ -153,18 +225,11 @@ def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     linked = keep(confirm(stars, texts), "linked")
     free_shuffles(spark)
     found = keep(components(linked), "components")
-    # What stars left apart: members outside the centre's component against members of other components in the same bucket.
-    labelled = members.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", "n_shingles", "c", F.coalesce("component", "id").alias("label"))
-    labelled = keep(labelled, "labelled")
-    heads = labelled.where("id = c").select("bucket", F.col("label").alias("head"))
-    outside = keep(labelled.join(heads, "bucket").where("label <> head").select("bucket", F.col("id").alias("o"), F.col("n_shingles").alias("o_n"), F.col("label").alias("o_label")), "outside")
-    across = outside.join(labelled, "bucket").where(
-        f"o_label <> label AND {DENOMINATOR} * least(o_n, n_shingles) >= {NUMERATOR} * greatest(o_n, n_shingles)"
-    )
-    # A pair that was a star has failed already.
-    rest = across.select(F.least("o", "id").alias("c"), F.greatest("o", "id").alias("m")).distinct()
-    rest = rest.join(stars.select("c", "m"), ["c", "m"], "left_anti")
-    more = keep(confirm(rest.withColumn("n", F.lit(16 * SALT_ROWS)), texts), "linked")
+    # What stars left apart: buckets that still hold several components.
+    labelled = keep(members.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("label")), "labelled")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mixed = keep(mixed.where("least < most").select("bucket", "blocks"), "mixed")
+    more = keep(_across(labelled.join(mixed, "bucket"), texts), "linked")
     if more.head(1):
         found = keep(components(linked.union(more)), "components")
     free_shuffles(spark)

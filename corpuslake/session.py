@@ -74,6 +74,24 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return Kept(df, label).df
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """``df`` written once, dealt by a hash of ``key`` into as many buckets as there are shuffle partitions: later joins on that key move the other side alone."""
+    spark = df.sparkSession
+    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), scratch_path(spark, label)
+    name = f"corpuslake_{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", path)
+    writer.bucketBy(n, key).sortBy(key).saveAsTable(name)
+    atexit.register(_drop_table, spark, name)
+    return spark.table(name)
+
+
+def _drop_table(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # noqa: BLE001  the session may have ended already
+        pass
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of plans nothing refers to any more."""
     import gc

@@ -18,7 +18,7 @@ Documents of at least WINDOW words that equal a smaller document wholly are left
 
 Cases: a null text has no words; texts under WINDOW words, or without repeats, lose nothing; a text repeated under the same doc_id is not
 another document; rows that share a doc_id each lose what a smaller doc_id has; a null doc_id neither loses words nor takes them from others; an
-empty table gives an empty result; extra columns are ignored by ``covered`` and pass through ``remove_repeats``.
+empty table gives an empty result; extra columns pass through, but for those named like an output.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.llm.common import WordIds, as_bytes, mix, need, rolling_ids, schema_with, word_ids
-from corpuslake.session import free_shuffles, keep
+from corpuslake.session import bucketed, free_shuffles, keep
 
 WINDOW = 50
 #: (kind, most words in a symbol) of each round.
@@ -133,19 +133,23 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(places)), pa.array(np.concatenate(hashes).view(np.int64))], names=["id", "pos", "h"])
 
 
-def covered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``id, copy_of, positions``: documents that lose words; copy_of: a smaller document with the same words, which has them all, or the first
-    words of the windows to remove."""
-    need(docs, doc_id, text)
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    long = rows.where(F.octet_length("text") >= 2 * window - 1)
+def _held(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` with ``__id`` and ``__text``, written once in buckets of its id, so that no later step moves texts again. Rows without an id are dealt by text."""
+    spot = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text))
+    return bucketed(docs.select("*", spot.alias("__id"), F.col(doc_id).isNotNull().alias("__known"), F.col(text).alias("__text")), "__id", "texts")
+
+
+def _covered(held: DataFrame, window: int) -> DataFrame:
+    """``__id, copy_of, positions``: documents that lose words; copy_of: a smaller document with the same words, which has them all; else positions:
+    the first words of the windows to remove."""
+    spark = held.sparkSession
+    long = held.where(F.col("__known") & (F.octet_length("__text") >= 2 * window - 1)).select("__id", "__text")
     # Whole copies, by the digest of the text.
-    digests = long.select("id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
+    digest = F.unhex(F.sha2(F.col("__text").cast("binary"), 256))
+    digests = long.select(F.col("__id").alias("id"), digest.alias("digest"))
     firsts = keep(digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last"), "firsts")
-    copies = keep(digests.join(firsts, "digest").where("id > first").select("id", F.col("first").alias("copy_of"), "digest"), "copies")
-    gone = copies.select("id", "digest")
-    alone = long.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256))).join(gone, ["id", "digest"], "left_anti").select("id", "text")
+    copies = keep(digests.join(firsts, "digest").where("id > first").select(F.col("id").alias("__id"), F.col("first").alias("copy_of"), "digest"), "copies")
+    alone = long.join(copies.select("__id", F.col("digest").alias("__digest")), ["__id"], "left").where(F.col("__digest").isNull() | (F.col("__digest") != digest)).select(F.col("__id").alias("id"), F.col("__text").alias("text"))
     # 1: keys of anchors; 2: those that documents share.
     found = keep(alone.mapInArrow(lambda b: _shingled(b, window), "id bigint, key bigint"), "anchors")
     shared = keep(found.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key"), "shared")
@@ -158,9 +162,9 @@ def covered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     least = keep(windows.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "first"), "least")
     hit = windows.join(least, "h").where("id > first").select("id", "pos")
     places = hit.groupBy("id").agg(F.collect_set("pos").alias("positions"))
-    places = places.select("id", F.lit(None).cast("long").alias("copy_of"), "positions")
-    whole = copies.groupBy("id").agg(F.min("copy_of").alias("copy_of")).select("id", "copy_of", F.lit(None).cast("array<int>").alias("positions"))
-    out = keep(whole.union(places).groupBy("id").agg(F.min("copy_of").alias("copy_of"), F.first("positions", True).alias("positions")), "covered")
+    places = places.select(F.col("id").alias("__id"), F.lit(None).cast("long").alias("copy_of"), "positions")
+    whole = copies.groupBy("__id").agg(F.min("copy_of").alias("copy_of")).select("__id", "copy_of", F.lit(None).cast("array<int>").alias("positions"))
+    out = keep(whole.union(places).groupBy("__id").agg(F.min("copy_of").alias("copy_of"), F.first("positions", True).alias("positions")), "covered")
     free_shuffles(spark)
     return out
 
@@ -180,17 +184,19 @@ def keep_words(words: list[bytes], positions: np.ndarray | None, whole: bool, wi
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, digest_only: bool = False) -> DataFrame:
     """The rows of ``docs`` with ``n_words``, ``n_removed`` and ``kept_text`` (or, with ``digest_only``, ``kept_sha256``): kept words joined by one space."""
-    lost = covered(docs, doc_id, text, window).withColumnRenamed("id", "__id")
+    need(docs, doc_id, text)
     last = "kept_sha256 string" if digest_only else "kept_text string"
     stay, schema = schema_with(docs, f"n_words bigint, n_removed bigint, {last}")
-    sent = docs.select(*stay, F.col(doc_id).cast("long").alias("__key"), F.col(text).alias("__text"))
-    joined = sent.join(lost, F.col("__key") == F.col("__id"), "left").select(*stay, "__text", "copy_of", "positions")
+    held = _held(docs, doc_id, text)
+    lost = _covered(held, window)
+    lost = lost.withColumnsRenamed({"copy_of": "__copy_of", "positions": "__positions"})
+    joined = held.join(lost, "__id", "left").select(*stay, "__text", *[F.when(F.col("__known"), F.col(c)).alias(c) for c in ("__copy_of", "__positions")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, removed, out = [], [], []
-            at = b.column("positions")
-            for i, (t, whole) in enumerate(zip(as_bytes(b.column("__text")), b.column("copy_of").to_pylist())):
+            at = b.column("__positions")
+            for i, (t, whole) in enumerate(zip(as_bytes(b.column("__text")), b.column("__copy_of").to_pylist())):
                 words = (t or b"").split()
                 places = at[i].values
                 left = keep_words(words, None if places is None else places.to_numpy(zero_copy_only=False), whole is not None, window)

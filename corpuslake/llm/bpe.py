@@ -17,6 +17,7 @@ import base64
 import hashlib
 import heapq
 import re
+import struct
 from functools import cache
 from itertools import chain
 
@@ -27,26 +28,33 @@ from pyspark.sql import DataFrame
 from corpuslake.llm.common import map_added, need
 
 #: Pre-tokens in one recursive query; bytes from which a pre-token goes to the heap; pre-tokens a worker remembers.
-CHUNK_WORDS, HEAP_BYTES, KNOWN_WORDS = 16_384, 2_048, 400_000
+CHUNK_WORDS, HEAP_BYTES, KNOWN_WORDS = 32_768, 2_048, 1_000_000
 #: Tokens in one decoding query.
 DECODE_TOKENS = 1_000_000
 
 CONTRACT = """
-WITH RECURSIVE t(w, pos, tok, live) AS (
-  SELECT w, pos, tok, true FROM seed
+WITH RECURSIVE t(w, pos, tok, next_pos, next_tok, live) AS (
+  SELECT w, pos, tok, next_pos, next_tok, true FROM seed
   UNION ALL
-  SELECT p.w, p.pos, CASE WHEN p.pos = b.at THEN b.m ELSE p.tok END, b.w IS NOT NULL
-  FROM (SELECT w, pos, tok, lag(pos) OVER (PARTITION BY w ORDER BY pos) AS before FROM t WHERE live) p
+  SELECT p.w, p.pos,
+    CASE WHEN p.pos = b.at THEN b.m ELSE p.tok END,
+    CASE WHEN p.pos = b.at THEN g.next_pos ELSE p.next_pos END,
+    CASE WHEN p.pos = b.at THEN g.next_tok WHEN p.next_pos = b.at THEN b.m ELSE p.next_tok END,
+    b.w IS NOT NULL
+  FROM (SELECT * FROM t WHERE live) p
   LEFT JOIN (
-    SELECT w, min(m * 65536::BIGINT + pos) // 65536 AS m, min(m * 65536::BIGINT + pos) % 65536 AS at
-    FROM (SELECT w, pos, tok * 65536::BIGINT + lead(tok) OVER (PARTITION BY w ORDER BY pos) AS pair FROM t WHERE live) n
-    JOIN merges USING (pair) GROUP BY w
+    SELECT w, (v >> 32)::INTEGER AS m, ((v >> 16) & 65535)::INTEGER AS at, (v & 65535)::INTEGER AS gone
+    FROM (
+      SELECT w, min((m::BIGINT << 32) + (pos << 16) + next_pos) AS v
+      FROM (SELECT w, pos, next_pos, tok * 65536::BIGINT + next_tok AS pair FROM t WHERE live AND next_tok IS NOT NULL) n
+      JOIN merges USING (pair) GROUP BY w)
   ) b ON p.w = b.w
-  WHERE p.before IS NULL OR b.at IS NULL OR p.before <> b.at
+  LEFT JOIN t g ON g.live AND g.w = p.w AND p.pos = b.at AND g.pos = b.gone
+  WHERE b.w IS NULL OR p.pos <> b.gone
 )
 SELECT w, list(tok ORDER BY pos) AS ids FROM t WHERE NOT live GROUP BY w
 """
-DECODE = "SELECT doc, string_agg(hex(b), '' ORDER BY pos) AS h FROM tokens JOIN vocab USING (id) GROUP BY doc"
+DECODE = "SELECT doc, list(b ORDER BY pos) AS pieces FROM tokens JOIN vocab USING (id) GROUP BY doc"
 
 
 def ascii_pattern(pattern: str) -> str | None:
@@ -72,7 +80,8 @@ class Engine:
         self.find_ascii = re.compile(p).findall if (p := ascii_pattern(pattern)) else self.find
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.known: dict[str, list[int]] = {}
+        self.decimals = [str(i) for i in range(max(self.ranks.values(), default=0) + 1)]
+        self.known: dict[str, bytes] = {}  # of each pre-token its ids, as int32
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "temp_directory": "", "preserve_insertion_order": False})
         self._fill("vocab", {"id": pa.array(self.ranks.values(), pa.int32()), "b": pa.array(self.ranks, pa.binary())})
         pairs, made = [], []
@@ -99,9 +108,9 @@ class Engine:
         for w in words:
             b = w.encode()
             if (rank := self.ranks.get(b)) is not None:
-                self.known[w] = [rank]
+                self.known[w] = struct.pack("i", rank)
             elif len(b) > HEAP_BYTES:
-                self.known[w] = self.heap(b)
+                self.known[w] = np.array(self.heap(b), np.int32).tobytes()
             else:
                 todo.append((w, b))
         todo.sort(key=lambda x: len(x[1]))  # words of one query then take about as many steps
@@ -111,11 +120,18 @@ class Engine:
     def _contract(self, part: list[tuple[str, bytes]]) -> None:
         lens = np.array([len(b) for _, b in part])
         flat = np.frombuffer(b"".join(b for _, b in part), np.uint8)
-        pos = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
-        self._fill("seed", {"w": np.repeat(np.arange(len(part), dtype=np.int32), lens), "pos": pos.astype(np.int32), "tok": self.byte_ids[flat]})
-        got = self.db.sql(CONTRACT).to_arrow_table()
-        for w, ids in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
-            self.known[part[w][0]] = ids
+        pos = (np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.int32)
+        tok = self.byte_ids[flat]
+        last = np.zeros(len(flat), bool)
+        last[np.cumsum(lens) - 1] = True
+        seed = pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), lens), "pos": pos, "tok": tok, "next_pos": pa.array(pos + 1, mask=last), "next_tok": pa.array(np.roll(tok, -1), mask=last)})
+        self.db.register("seed", seed)
+        got = self.db.sql(CONTRACT).to_arrow_table().combine_chunks()
+        self.db.unregister("seed")
+        lists = got.column(1).chunk(0)
+        data, ends = lists.values.to_numpy().astype(np.int32).tobytes(), (4 * lists.offsets.to_numpy().astype(np.int64)).tolist()
+        for k, w in enumerate(got.column(0).to_pylist()):
+            self.known[part[w][0]] = data[ends[k] : ends[k + 1]]
 
     def heap(self, b: bytes) -> list[int]:
         """The same contraction for one very long pre-token: a linked list and a heap of (rank, position)."""
@@ -137,13 +153,24 @@ class Engine:
                 heapq.heappush(pairs, (r, p, stop))
         return [self.ranks[b[i : end[i]]] for i in range(n) if alive[i]]
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def words(self, texts: list[str | None]) -> list[list[str]]:
+        """The pre-tokens of each text, all of them known afterwards."""
         split = [self.split(x) if x else [] for x in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        self.learn({w for ws in split for w in ws if w not in self.known})
-        at = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(at, ws)), np.int32) for ws in split]
+        here = set(chain.from_iterable(split))
+        if len(self.known) > KNOWN_WORDS:  # those of this batch stay
+            self.known = {w: self.known[w] for w in here if w in self.known}
+        self.learn(here.difference(self.known))
+        return split
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32)
+
+    def written(self, ids: np.ndarray) -> str:
+        """Ids as text, joined by one space."""
+        return " ".join(map(self.decimals.__getitem__, ids.tolist()))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [self.ids(ws) for ws in self.words(texts)]
 
     # ------------------------------------------------------------ decoding
     def decode(self, lists: list[np.ndarray]) -> list[bytes]:
@@ -169,8 +196,14 @@ class Engine:
         got = self.db.sql(DECODE).to_arrow_table()
         self.db.unregister("tokens")
         out = [b""] * len(lists)
-        for doc, h in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
-            out[doc] = bytes.fromhex(h)
+        pieces = got.column(1).combine_chunks()
+        if len(got):
+            # The pieces of a list lie side by side in the buffer.
+            starts, flat = pieces.offsets.to_numpy(), pieces.values
+            spots = np.frombuffer(flat.buffers()[1], np.int32, len(flat) + 1, 4 * flat.offset)[starts].tolist()
+            data = flat.buffers()[2].to_pybytes() if flat.buffers()[2] is not None else b""
+            for k, doc in enumerate(got.column(0).to_pylist()):
+                out[doc] = data[spots[k] : spots[k + 1]]
         return out
 
 
@@ -184,7 +217,7 @@ def _ids_array(lists: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*lists, np.empty(0, np.int32)]).astype(np.int32)))
 
 
-def _pieces(texts: pa.Array, chars: int = 4_000_000):
+def _pieces(texts: pa.Array, chars: int = 6_000_000):
     """Slices of a batch of about so many bytes, so that a batch of very long texts is not held tokenised at once."""
     lens = [len(x) if x else 0 for x in texts.to_pylist()]
     a = size = 0
@@ -224,7 +257,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
         for a, z in _pieces(column):
             lists = e.encode(column.slice(a, z - a).to_pylist())
             n += map(len, lists)
-            ids_sha += [hashlib.sha256(" ".join(map(str, x.tolist())).encode()).hexdigest() for x in lists]
+            ids_sha += [hashlib.sha256(e.written(x).encode()).hexdigest() for x in lists]
             text_sha += [hashlib.sha256(b).hexdigest() for b in e.decode(lists)]
         return [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
 

@@ -34,7 +34,7 @@ from corpuslake.session import free_shuffles, keep
 
 #: Words in a shingle; similarity as a fraction; bands and bins in a band; members for each copy of a centre;
 #: members in a block of a bucket; rows up to which a tile compares all its pairs on full sets at once.
-WIDTH, NUMERATOR, DENOMINATOR, BANDS, ROWS, SALT_ROWS, BLOCK, SMALL = 5, 75, 100, 40, 4, 50, 256, 48
+WIDTH, NUMERATOR, DENOMINATOR, BANDS, ROWS, SALT_ROWS, BLOCK, SMALL = 5, 75, 100, 40, 4, 50, 1_024, 48
 BINS = BANDS * ROWS
 _known = WordIds()
 

@@ -21,10 +21,10 @@ from corpuslake.functions.htmltree import Node, build
 from corpuslake.llm.common import map_added, need
 
 # Classes of elements by their usual display.
-INVISIBLE = frozenset("head script style template noscript iframe object embed audio video canvas svg math datalist noframes noembed param source track".split())
+INVISIBLE = frozenset("head title script style template noscript iframe object embed audio video canvas svg math datalist noframes noembed param source track".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl menu dir table figure fieldset hr details xmp".split())
 BLOCK = SPACED | frozenset(
-    "address article aside body center dd dialog div dt figcaption footer form header hgroup html legend li main nav optgroup option search section summary tr caption thead tbody tfoot td th title".split()
+    "address article aside body center dd dialog div dt figcaption footer form header hgroup html legend li main nav optgroup option search section summary tr caption thead tbody tfoot td th".split()
 )
 TABLE_DEPTH = 6
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)

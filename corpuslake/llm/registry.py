@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm import bpe, htmltext, langid, minhash, packing, recompression, tokencounts, vectors, warc
 from corpuslake.llm.common import WORD, table
-from corpuslake.session import scratch_path
+from corpuslake.session import keep, scratch_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -23,7 +23,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    return packing.pack(docs, "n_words")
+    return packing.pack(keep(docs, "lengths"), "n_words")  # texts are read once
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

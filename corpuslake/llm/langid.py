@@ -22,9 +22,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.llm.common import map_added, need
+from corpuslake.session import keep
 
 #: Rows of a language that train; hashed features; least bits of a code; epochs; margin per bit under which a text is ambiguous.
 PER_LANGUAGE, FEATURES, BITS, EPOCHS, AMBIGUOUS = 300, 1 << 13, 15, 60, 0.05
+#: Chosen ids up to which they are broadcast (under 2 MB).
+BROADCAST_IDS = 100_000
 UNDETERMINED = "und"
 
 
@@ -135,7 +138,10 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     order = Window.partitionBy("lang").orderBy("h", "id")
     picked = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(key).alias("id"), F.xxhash64(key).alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
-    chosen = labelled.join(picked.select(F.col("id").alias("__id")).distinct(), F.col(key) == F.col("__id"), "left_semi")
+    ids = keep(picked.select(F.col("id").alias("__id")).distinct(), "picked")
+    # At most per_language ids of each language: few enough to send to every task, so that no text moves; beyond the bound Spark chooses.
+    few = ids.count() <= BROADCAST_IDS
+    chosen = labelled.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("__id"), "left_semi")
     one = chosen.groupBy(F.col(key).alias("k")).agg(F.min(F.struct(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"))).alias("s"))
     table = one.select("s.t", "s.l", F.xxhash64("k").alias("h")).toArrow().to_pydict()
     return fit(sorted(zip(table["t"], table["l"], table["h"]), key=lambda r: (r[2], r[1], r[0])))

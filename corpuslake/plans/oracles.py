@@ -306,3 +306,30 @@ SELECT z.url, CASE WHEN NOT looped AND h.url IS NULL THEN cur END AS final_url,
 SELECT request_id, o.origin, q AS queued_at FROM o LEFT JOIN a ON a.origin = o.origin WHERE status = 'pending' AND x > 500 AND coalesce(n, 0) < CASE WHEN o.origin = 'o7' THEN 100000 ELSE 5 END AND o.origin <> 'o3' ORDER BY k <= 'k12', k, q, request_id LIMIT 1""",
     "stream_reduce": "SELECT 'run-' || (user_id % 5)::VARCHAR AS crawl_run_id, count(*) AS event_count FROM events WHERE event_id % 101 <> 0 GROUP BY 1",
 }
+
+_RECRAWL = f"""
+WITH {SRC}, {CHANGES},
+e AS (SELECT source_id, list(snapshot_id) AS ids, max(observed_at) AS newest FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY observed_at DESC) AS r FROM src WHERE stop_reason = 'frontier_exhausted' AND failed_count = 0 AND scope = 'scope-0') WHERE r <= 3 GROUP BY 1),
+c AS (SELECT e.source_id, newest, len(ids) AS n, count(DISTINCT snapshot_id || '/' || page_id::VARCHAR) AS comparable, count(DISTINCT CASE WHEN change_status = 'changed' THEN snapshot_id || '/' || page_id::VARCHAR END) AS changed
+  FROM e LEFT JOIN chg ON chg.source_id = e.source_id AND list_contains(ids, snapshot_id) AND list_contains(ids, previous_snapshot_id) GROUP BY 1, 2, 3),
+k AS (SELECT *, n = 3 AND comparable >= CASE WHEN source_id < 'D' THEN 1 ELSE 10000000 END AS ok FROM c),
+f AS (SELECT *, CASE WHEN ok THEN changed / comparable END AS cf FROM k),
+p AS (SELECT *, CASE WHEN cf >= 0.25 THEN 18.0 WHEN cf <= 0.02 THEN 30.0 ELSE 24.0 END::DOUBLE AS proposed FROM f)"""
+ORACLES |= {
+    "recrawl_recommendation": f"""{_RECRAWL} SELECT source_id, proposed AS proposed_interval_hours, proposed - 24.0::DOUBLE AS adjustment_hours, CASE WHEN proposed > 24 THEN 'increase' WHEN proposed < 24 THEN 'decrease' ELSE 'hold' END AS adjustment_type,
+CASE WHEN ok THEN 'completed_history' ELSE 'unsupported' END AS evidence_status, comparable AS comparable_page_observations, changed AS changed_page_observations, round(cf, 6) AS change_fraction, CASE WHEN ok THEN 'medium' ELSE 'low' END AS confidence FROM p""",
+    "recrawl_validation": f"""{_RECRAWL} SELECT source_id, CASE WHEN ok THEN 'completed_history' ELSE 'unsupported' END AS evidence_status, CASE WHEN date_diff('day', newest[1:10]::DATE, DATE '2001-01-01') > 30 THEN 'stale' WHEN ok THEN 'valid' ELSE 'unsupported' END AS validation_status,
+CASE WHEN date_diff('day', newest[1:10]::DATE, DATE '2001-01-01') > 30 THEN 'evidence is too old' WHEN ok THEN 'complete, compatible, fresh and comparable' ELSE 'too few comparable observations' END AS validation_reason FROM p""",
+    "lease_fold": """
+WITH v AS (SELECT 't' || (user_id % 300)::VARCHAR AS task_id, event_id, CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'renew' WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'succeed' ELSE 'expire' END AS ac, (event_id % 4)::VARCHAR AS w FROM events),
+l AS (SELECT task_id, list({'s': '', 'e': 0, 'a': 0, 'o': NULL::VARCHAR, 'x': 0, 'ac': ac, 'w': w} ORDER BY event_id) AS ev FROM v GROUP BY 1),
+r AS (SELECT task_id, list_reduce(ev, lambda p, c: CASE
+    WHEN c.ac = 'claim' AND p.s = 'pending' THEN {'s': 'leased', 'e': p.e + 1, 'a': p.a + 1, 'o': c.w, 'x': p.x, 'ac': '', 'w': ''}
+    WHEN c.ac = 'expire' AND p.s = 'leased' THEN {'s': 'pending', 'e': p.e, 'a': p.a, 'o': NULL::VARCHAR, 'x': p.x, 'ac': '', 'w': ''}
+    WHEN c.ac = 'renew' AND p.s = 'leased' AND p.o = c.w THEN p
+    WHEN c.ac = 'fail' AND p.s = 'leased' AND p.o = c.w THEN {'s': CASE WHEN p.a >= 3 THEN 'failed' ELSE 'pending' END, 'e': p.e, 'a': p.a, 'o': NULL::VARCHAR, 'x': p.x, 'ac': '', 'w': ''}
+    WHEN c.ac = 'succeed' AND p.s = 'leased' AND p.o = c.w THEN {'s': 'succeeded', 'e': p.e, 'a': p.a, 'o': NULL::VARCHAR, 'x': p.x, 'ac': '', 'w': ''}
+    ELSE {'s': p.s, 'e': p.e, 'a': p.a, 'o': p.o, 'x': p.x + 1, 'ac': '', 'w': ''} END,
+    {'s': 'pending', 'e': 0, 'a': 0, 'o': NULL::VARCHAR, 'x': 0, 'ac': '', 'w': ''}) AS z FROM l)
+SELECT task_id, z.s AS status, z.e AS epoch, z.a AS attempts, z.o AS owner, z.x AS stale FROM r""",
+}

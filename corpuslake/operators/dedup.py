@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuslake.functions.text import bands, hamming, simhash64
 from corpuslake.functions.urls import sha256_id
 from corpuslake.operators.history import only_top
+from corpuslake.session import keep
 
 NEAR_BITS, PAIR_LIMIT = 6, 1_000
 
@@ -83,9 +84,9 @@ def shingle_similarity(df: DataFrame, key: list[str], text: str, sha: str, sampl
     rows = rows.where((F.length(text) <= max_chars) & (F.octet_length(text) <= max_bytes))
     tokens = F.filter(F.split(F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " ")), " "), lambda x: x != "")
     # The words are bound as a lambda's variable, so that they are split once and not again for each shingle; the guard keeps the sequence from counting down.
-    hashes = lambda w: F.when(F.size(w) >= 5, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.sha2(F.array_join(F.slice(w, i, 5), " "), 256))))
+    hashes = lambda w: F.when(F.size(w) >= 5, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.xxhash64(F.slice(w, i, 5)))))
     rows = rows.select(F.struct(*key).alias("k"), F.col(sha).alias("sha"), F.element_at(F.transform(F.array(tokens), hashes), 1).alias("s")).where("s IS NOT NULL").withColumn("n", F.size("s"))
-    each = rows.select("k", "sha", "n", F.explode("s").alias("h"))
+    each = keep(rows.select("k", "sha", "n", F.explode("s").alias("h")), "shingles")  # read three times
     rare = each.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df").between(least_df, most_df)).select("h")
     each = each.join(rare, "h", "left_semi")
     a, b = each.alias("a"), each.alias("b")

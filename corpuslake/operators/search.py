@@ -33,10 +33,11 @@ def build_catalog(passages: DataFrame, aliases: DataFrame) -> DataFrame:
     return passages.join(a, "page_id", "left").select("*", key.alias("vector_key"), normalize_text("content").alias("text")).withColumn("alias_page_ids", F.coalesce("alias_page_ids", empty))
 
 
-def build_postings(catalog: DataFrame, fields: tuple[str, ...] = ("title", "heading", "body")) -> tuple[DataFrame, DataFrame, DataFrame]:
+def build_postings(catalog: DataFrame, fields: tuple[str, ...] = ("title", "heading", "body"), queries: DataFrame | None = None, max_terms: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``postings(field, term, passage_id, source_id, tf, positions, length)``, ``terms(field, term, df)``, ``stats(field, n, avg_length)``.
 
-    Write the postings partitioned by ``term`` hash to look terms up without a scan of all.
+    Write the postings partitioned by ``term`` hash to look terms up without a scan of all. For one batch of ``queries`` without an index, only postings of
+    their terms are made: other tokens go before any shuffle, by a semi join whose other side is broadcast up to ``max_terms`` terms.
     """
     each = None
     for f in fields:
@@ -44,6 +45,9 @@ def build_postings(catalog: DataFrame, fields: tuple[str, ...] = ("title", "head
         each = x if each is None else each.unionByName(x)
     each = each.withColumn("length", F.size("t"))
     at = each.select("field", "passage_id", "source_id", "length", F.posexplode("t").alias("pos", "term"))
+    if queries is not None:
+        wanted = query_literals(queries).select(F.explode("terms").alias("term")).distinct()
+        at = at.join(F.broadcast(wanted) if wanted.limit(max_terms + 1).count() <= max_terms else wanted, "term", "left_semi")
     postings = at.groupBy("field", "term", "passage_id", "source_id", "length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
     stats = each.groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
@@ -164,7 +168,7 @@ def search(catalog: DataFrame, vectors: DataFrame | None, query: str, mode: str
     if mode != "keyword" and vectors is None:
         raise RuntimeError("not_ready: no vectors")
     q = catalog.sparkSession.createDataFrame([("q", query)], "query_id string, query string")
-    keyword = keyword_topk(*build_postings(catalog), q, depth, source=source) if mode != "semantic" else None
+    keyword = keyword_topk(*build_postings(catalog, queries=q), q, depth, source=source) if mode != "semantic" else None
     semantic = vector_topk(vectors, q.select("query_id", hash_embed("query", dims).alias("vector")), depth, source) if mode != "keyword" else None
     hits = rrf(keyword, semantic, depth=depth) if mode == "hybrid" else keyword if mode == "keyword" else semantic
     return page_results(hits, catalog, limit).orderBy("rank")

@@ -393,15 +393,15 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    index = search.build_postings(d.catalog(spark, sf), ("title", "body"))
     q = d.keyword_queries(spark, sf).where("query_id % 2 = 0")
+    index = search.build_postings(d.catalog(spark, sf), ("title", "body"), q)
     return _rounded(search.keyword_topk(*index, q, 10).select("query_id", "rank", "passage_id", "score"))
 
 
 @query
 def keyword_phrase(spark: SparkSession, sf: str) -> DataFrame:
-    index = search.build_postings(d.catalog(spark, sf), ("title", "body"))
     q = d.keyword_queries(spark, sf).where("query_id % 2 = 1")
+    index = search.build_postings(d.catalog(spark, sf), ("title", "body"), q)
     return _rounded(search.keyword_topk(*index, q, 10).select("query_id", "rank", "passage_id", "score"))
 
 

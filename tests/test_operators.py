@@ -1,4 +1,4 @@
-"""Goldens and properties of the reference-side operators, on small hand-made inputs."""
+"""Goldens and properties of the operators, on small hand-made inputs."""
 
 import hashlib
 import json

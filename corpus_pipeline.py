@@ -20,9 +20,9 @@ from corpuslake.session import keep  # noqa: E402
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those of ``und`` (no text, or no letter in it) go. Only labelled rows that aren't held out train."""
+    """Documents whose language can be told: those that decoding rejects go (no letter, letter junk, a language not learned, even mixtures). Only labelled rows that aren't held out train."""
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
-    return langid.identify(docs, model).where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    return langid.identify(docs, model).where(~F.col("rejected")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,10 @@ Each language has a codeword; for every bit one binary classifier (logistic, ove
 weighs each bit by its logistic loss: the language whose codeword has the smallest total loss wins; the score is its share of
 exp(-loss) over all languages, and a text whose two best losses are closer than ``AMBIGUOUS`` per bit is flagged.
 
+Decoding also rejects: a text of ``SURE_LETTERS`` letters and more whose two best losses are closer than ``APART`` per bit (an even mixture), or whose
+best loss is ``UNLIKE`` per bit and more (letter junk, a language not learned), and every ``und``. Shorter texts say too little to be rejected,
+and some junk and other languages still pass; with one learned language no code tells texts apart, so that none with a letter is rejected.
+
 Training takes at most ``PER_LANGUAGE`` labelled rows of each language (those of smallest hash), each whole and as some excerpts, so that short
 texts are learned too; prediction reads every whole text. Only text and label train; nothing but text predicts.
 
@@ -15,6 +19,7 @@ pass through, but for those named like an output.
 from __future__ import annotations
 
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,8 @@ from corpuslake.session import keep
 
 #: Rows of a language that train; hashed features; least bits of a code; epochs; margin per bit under which a text is ambiguous.
 PER_LANGUAGE, FEATURES, BITS, EPOCHS, AMBIGUOUS = 300, 1 << 13, 15, 60, 0.05
+#: Letters from which a text can be rejected; least margin and loss per bit that reject: held-out documents of one language have more of the one and less of the other.
+SURE_LETTERS, APART, UNLIKE = 80, 0.5, 0.35
 #: Chosen ids up to which they are broadcast (under 2 MB).
 BROADCAST_IDS = 100_000
 UNDETERMINED = "und"
@@ -67,6 +74,10 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def enough_letters(text: str) -> bool:
+    return len(text) >= SURE_LETTERS and next(islice(filter(str.isalpha, text), SURE_LETTERS - 1, None), None) is not None
+
+
 def excerpts(text: str, key: int) -> list[str]:
     """The whole text and a few runs of its words."""
     words = text.split()
@@ -92,8 +103,8 @@ class Model:
         one, zero = np.logaddexp(0, -z), np.logaddexp(0, z)
         return one @ self.code.T + zero @ (1 - self.code).T
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
-        names, scores, unsure = [UNDETERMINED] * len(texts), [0.0] * len(texts), [False] * len(texts)
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool], list[bool]]:
+        names, scores, unsure, rejected = [UNDETERMINED] * len(texts), [0.0] * len(texts), [False] * len(texts), [True] * len(texts)
         some = [i for i, t in enumerate(texts) if t and self.languages and has_letter(t)]
         if some:
             loss = self.losses([texts[i].encode() for i in some])
@@ -103,7 +114,9 @@ class Model:
             for r, i in enumerate(some):
                 names[i], scores[i] = self.languages[best[r]], float(share[r, best[r]])
                 unsure[i] = loss.shape[1] > 1 and bool((ordered[r, 1] - ordered[r, 0]) / loss.shape[1] < AMBIGUOUS)
-        return names, scores, unsure
+                least = ordered[r] / self.code.shape[1]
+                rejected[i] = len(least) > 1 and bool(least[1] - least[0] < APART or least[0] >= UNLIKE) and enough_letters(texts[i])
+        return names, scores, unsure, rejected
 
 
 def fit(rows: list[tuple[str, str, int]]) -> Model:
@@ -148,17 +161,17 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Append ``lang_pred string, score double, ambiguous boolean``."""
+    """Append ``lang_pred string, score double, ambiguous boolean, rejected boolean``."""
     need(df, text)
 
     def make(column: pa.Array) -> list[pa.Array]:
-        names, scores, unsure = [], [], []
+        names, scores, unsure, rejected = [], [], [], []
         for a in range(0, len(column), 1_024):
-            n, s, u = model.predict(column.slice(a, 1_024).to_pylist())
-            names, scores, unsure = names + n, scores + s, unsure + u
-        return [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())]
+            n, s, u, r = model.predict(column.slice(a, 1_024).to_pylist())
+            names, scores, unsure, rejected = names + n, scores + s, unsure + u, rejected + r
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_()), pa.array(rejected, pa.bool_())]
 
-    return map_added(df, [text], "lang_pred string, score double, ambiguous boolean", make)
+    return map_added(df, [text], "lang_pred string, score double, ambiguous boolean, rejected boolean", make)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -375,6 +375,23 @@ def test_language_without_or_with_one_label(spark):
     assert {r["lang_pred"] for r in langid.identify(one, langid.train(one)).collect()} == {"en"}
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_language_stage_rejects_what_decoding_cannot_tell(spark):
+    import corpus_pipeline
+
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(4)
+    junk = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(3_000))
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. "
+    long = {r["lang"]: r["text"].split() for r in d.where("length(text) > 1500").orderBy("doc_id", ascending=False).collect()}
+    even = " ".join(long["de"][:100] + long["fr"][:100])
+    odd = spark.createDataFrame([(-1, junk), (-2, russian), (-3, even), (-4, "1 2 3"), (-5, None), (-6, "De.")], "doc_id bigint, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.language(spark, d.unionByName(odd, allowMissingColumns=True), SF).collect()}
+    assert {i for i in got if i < 0} == {-6}
+    clean = {r["doc_id"] for r in d.where(langid.held_out(F.col("doc_id"))).collect()}
+    assert clean and clean <= got
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 20])
 def test_codewords_differ(n):
     code = langid.codewords(n)

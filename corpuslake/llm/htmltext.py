@@ -1,8 +1,8 @@
 """Layout-aware HTML rendering: the visible text of a page, as a reader sees it.
 
 The tree builder implies missing tags. Rendering walks the tree once, with a stack and not recursion: blocks start on a new line, those with a margin
-after a blank line; lists are marked and indented; table cells are padded to aligned columns, whatever they span; white space collapses but in
-preformatted text. Not visible are head, scripts, styles, templates, embedded documents, elements with ``hidden``, ``display:none`` or
+after a blank line; lists are marked and indented; a table cell keeps its lines (blocks, lists, preformatted text, tables), each padded to aligned
+columns, whatever it spans; white space collapses but in preformatted text. Not visible are head, scripts, styles, templates, embedded documents, elements with ``hidden``, ``display:none`` or
 ``visibility:hidden``, closed dialogs and hidden inputs; everything else is emitted, wherever it stands on the page.
 
 Cases: a null page renders as null, an empty one as the empty text; broken markup is read as far as it goes (an open tag, comment or quote
@@ -110,7 +110,7 @@ def _rows(table: Node) -> list[Node]:
 
 
 def _table(page: Page, table: Node, depth: int) -> None:
-    grid: list[list[tuple[str, int]]] = []
+    grid: list[list[tuple[list[str], int]]] = []  # of each cell its lines and how many columns it spans
     taken: dict[int, int] = {}  # columns that cells of earlier rows still take, and for how many rows
     for row in _rows(table):
         if row.tag == "caption":
@@ -123,16 +123,20 @@ def _table(page: Page, table: Node, depth: int) -> None:
             if isinstance(c, str):
                 if not c.strip():
                     continue
-                text, span, down = _SPACE.sub(" ", c).strip(), 1, 1
+                lines, span, down = [_SPACE.sub(" ", c).strip()], 1, 1
             elif hidden(c):
                 continue
             else:
-                text = " ".join(x.strip() for x in _render(c, depth + 1) if x.strip())
+                if c.tag not in ("td", "th"):  # the root of a rendering has no display of its own
+                    cell = Node("td", {}, row)
+                    cell.children.append(c)
+                    c = cell
+                lines = _trimmed(_render(c, depth + 1))
                 span, down = max(1, min(1_000, _number(c.attrs.get("colspan"), 1))), max(1, min(65_534, _number(c.attrs.get("rowspan"), 1)))
             while taken.get(column, 0):
-                cells.append(("", 1))
+                cells.append(([], 1))
                 column += 1
-            cells.append((text, span))
+            cells.append((lines, span))
             if down > 1:
                 own |= {column + k: down for k in range(span)}
             column += span
@@ -141,19 +145,34 @@ def _table(page: Page, table: Node, depth: int) -> None:
     widths: list[int] = []
     for cells in grid:
         at = 0
-        for text, span in cells:
+        for lines, span in cells:
             widths += [0] * (at + span - len(widths))
             if span == 1:
-                widths[at] = max(widths[at], width(text))
+                widths[at] = max(widths[at], max(map(width, lines), default=0))
             at += span
     for cells in grid:
-        at, line, wanted = 0, "", 0
-        for text, span in cells:
-            line += " " * max(0, wanted - width(line)) + ("  " if at and text and width(line) > wanted else "") + text
+        if not any(lines for lines, _ in cells):
+            continue
+        at, wanted, end = 0, 0, 0
+        placed: list[tuple[int, list[str]]] = []  # of each cell with text the column of characters that its lines start at
+        for lines, span in cells:
+            if lines:
+                placed.append((max(wanted, end + 2) if placed else wanted, lines))
+                end = placed[-1][0] + max(map(width, lines))
             wanted += sum(widths[at : at + span]) + 2 * span
             at += span
-        if line.strip():
-            page.put(line.rstrip())
+        for k in range(max(len(lines) for _, lines in placed)):
+            line = ""
+            for start, lines in placed:
+                if k < len(lines) and lines[k]:
+                    line += " " * (start - width(line)) + lines[k]
+            page.put(line)
+
+
+def _trimmed(lines: list[str]) -> list[str]:
+    """Lines without the blank ones at both ends."""
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    return [x.rstrip() for x in lines[full[0] : full[-1] + 1]] if full else []
 
 
 def _render(root: Node, depth: int = 0) -> list[str]:

@@ -412,6 +412,20 @@ def test_rendering(html, text):
     assert htmltext.render(html).strip() == text.strip()
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table><tr><td><p>a<p>bb<td>c<tr><td>d<td>e</table>", "a   c\n\nbb\nd   e"), ("<table><tr><td>x<td><ul><li>a<li>b</ul><td>y</table>", "x  - a  y\n   - b"),
+        ("<table><tr><td><pre>def f():\n    return 1</pre><td>z</table>", "def f():      z\n    return 1"), ("<table><tr><td><pre>  in\nout</pre></table>", "  in\nout"),
+        ("<table><tr><td>o<td><table><tr><td>a<td>bb<tr><td>ccc<td>d</table></table>", "o  a    bb\n   ccc  d"), ("<table><tr><td><h1>T</h1><ul><li>a<li>b</ul><pre>f:\n  1</pre></table>", "T\n\n- a\n- b\n\nf:\n  1"),
+        ("<table><tr><td colspan=2>w<br>v<td>z<tr><td>aa<td>b<td>c</table>", "w      z\nv\naa  b  c"), ("<table><tr><td rowspan=2>a<br>b<td>c<tr><td>d</table>", "a  c\nb\n   d"),
+        ("<table><tr><td colspan=2>wide one<br>v<td>y<br>z<tr><td>a<td>b<td>c</table>", "wide one  y\nv         z\na  b  c"), ("<table><tr><pre>a\n  b</pre></table>", "a\n  b"),
+    ],
+)
+def test_rendering_keeps_lines_of_cells(html, text):
+    assert htmltext.render(html) == text
+
+
 def test_rendering_survives_depth_and_nulls(spark):
     assert htmltext.render("<div>" * 20_000 + "deep").endswith("deep")
     assert "x" in htmltext.render("<table><tr><td>" * 40 + "x")

@@ -1,4 +1,4 @@
-"""A forgiving HTML tree builder: one pass over the text, implied start and end tags, raw-text elements, void elements."""
+"""A forgiving HTML tree builder: one pass over the text, implied start and end tags, raw-text elements, void elements, self-closing ones in math and svg."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import re
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 RCDATA = frozenset("title textarea".split())
+FOREIGN = frozenset("math svg".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
 )
@@ -39,12 +40,13 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""
 
 
 class Node:
-    """An element; children are nodes and strings, in order."""
+    """An element; children are nodes and strings, in order; foreign: the math or svg that it is, or is in, else empty."""
 
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "foreign")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: "Node | None") -> None:
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+        self.foreign = tag if tag in FOREIGN else parent.foreign if parent is not None and parent.tag != "foreignobject" else ""
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -96,6 +98,8 @@ def build(source: str) -> Node:
             here = _open(here, tag)
             node = Node(tag, attributes(m[2]) if m[2].strip(" /\n\t\r") else {}, here)
             here.children.append(node)
+            if node.foreign and m[2].endswith("/"):
+                continue
             if tag in RAW or tag in RCDATA:
                 end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(source, at)
                 inner = source[at : end.start() if end else n]

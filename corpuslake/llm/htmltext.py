@@ -3,10 +3,11 @@
 The tree builder implies missing tags. Rendering walks the tree once, with a stack and not recursion: blocks start on a new line, those with a margin
 after a blank line; lists are marked and indented; a table cell keeps its lines (blocks, lists, preformatted text, tables), each padded to aligned
 columns, whatever it spans; white space collapses but in preformatted text. Not visible are head, scripts, styles, templates, embedded documents, elements with ``hidden``, ``display:none`` or
-``visibility:hidden``, closed dialogs and hidden inputs; everything else is emitted, wherever it stands on the page.
+``visibility:hidden``, closed dialogs, hidden inputs, annotations in math, and titles, descriptions and definitions in svg; everything else is emitted, wherever it stands on the page.
 
 Cases: a null page renders as null, an empty one as the empty text; broken markup is read as far as it goes (an open tag, comment or quote
-ends with the page); tables nested deeper than ``TABLE_DEPTH`` are rendered as blocks; extra columns pass through, but for one named like the output.
+ends with the page); tables nested deeper than ``TABLE_DEPTH`` are rendered as blocks; parts of a fraction, cells of a
+math table and texts of an svg are parted by a space, and what an svg repeats by ``use`` is not repeated; extra columns pass through, but for one named like the output.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from corpuslake.functions.htmltree import Node, build
 from corpuslake.llm.common import map_added, need
 
 # Classes of elements by their usual display.
-INVISIBLE = frozenset("head title script style template noscript iframe object embed audio video canvas svg math datalist noframes noembed param source track".split())
+INVISIBLE = frozenset("head title script style template noscript iframe object embed audio video canvas datalist noframes noembed param source track".split())
+#: Parts of math and svg that aren't rendered where they stand.
+UNSEEN = {"math": frozenset("annotation annotation-xml".split()), "svg": frozenset("title desc metadata defs symbol clippath mask pattern marker".split())}
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl menu dir table figure fieldset hr details xmp".split())
 BLOCK = SPACED | frozenset(
     "address article aside body center dd dialog div dt figcaption footer form header hgroup html legend li main nav optgroup option search section summary tr caption thead tbody tfoot td th".split()
@@ -34,10 +37,17 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 def hidden(x: Node) -> bool:
     if x.tag in INVISIBLE or "hidden" in x.attrs or x.tag == "dialog" and "open" not in x.attrs or x.tag == "input" and x.attrs.get("type", "").lower() == "hidden":
         return True
+    if x.foreign and x.tag in UNSEEN[x.foreign]:
+        return True
     style = x.attrs.get("style")
     return bool(style and _HIDDEN.search(style))
 
 
+def parted(x: Node) -> bool:
+    """Whether an element of math or svg stands apart from what is beside it."""
+    return bool(x.foreign) and (x.tag in ("mtd", "text") or x.parent is not None and x.parent.tag == "mfrac")
+
+
 def width(s: str) -> int:
     """Columns that a text takes."""
     return len(s) if s.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
@@ -198,6 +208,9 @@ def _render(root: Node, depth: int = 0) -> list[str]:
         if leaving:
             if tag in ("ul", "ol", "menu", "dir"):
                 lists.pop()
+            if parted(x):
+                page.say(" ")
+                continue
             page.end(gap)
             if tag == "li":
                 page.indent -= 4 if lists and lists[-1] is not None else 2
@@ -224,7 +237,10 @@ def _render(root: Node, depth: int = 0) -> list[str]:
             _table(page, x, depth)
             page.due = 2
             continue
-        if tag in BLOCK and x is not root:
+        if parted(x) and x is not root:
+            page.say(" ")
+            stack.append((x, True))
+        elif tag in BLOCK and x is not root:
             page.end(gap)
             if tag in ("ul", "ol", "menu", "dir"):
                 lists.append(_number(x.attrs.get("start"), 1) if tag == "ol" else None)

@@ -426,6 +426,18 @@ def test_rendering_keeps_lines_of_cells(html, text):
     assert htmltext.render(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds", "so x=1 holds"), ("<math><semantics><mi>y</mi><annotation>\\y</annotation><annotation-xml><ci>y</ci></annotation-xml></semantics></math>!", "y!"),
+        ("<math><mfrac><mn>1</mn><mn>2</mn></mfrac></math>", "1 2"), ("<svg><title>t</title><desc>d</desc><metadata>m</metadata><defs><text>n</text></defs><text>A</text><text>B</text></svg>", "A B"),
+        ("<svg><defs/><title/><path d='M0'/><text>A</text></svg><p>b</p>", "A\n\nb"), ("<desc>d</desc><div/>e", "d\ne"), ("a<text>b</text>c", "abc"), ("<p>a<svg style='display:none'><text>n</text></svg>b", "ab"),
+    ],
+)
+def test_rendering_shows_math_and_svg(html, text):
+    assert htmltext.render(html) == text
+
+
 def test_rendering_survives_depth_and_nulls(spark):
     assert htmltext.render("<div>" * 20_000 + "deep").endswith("deep")
     assert "x" in htmltext.render("<table><tr><td>" * 40 + "x")

@@ -141,16 +141,13 @@ def links_frontier(seeds: DataFrame, links: DataFrame, cap: int, max_depth: int
 
 def resolve_redirects(starts: DataFrame, hops: DataFrame, limit: int = 10) -> DataFrame:
     """Follow ``hops(url, location)`` from each start: ``url, final_url, chain, outcome`` (ok, redirect_loop, redirect_limit_exceeded)."""
-    spark = starts.sparkSession
-    starts.select("url").distinct().createOrReplaceTempView("__redirect_starts")
-    hops.select("url", "location").createOrReplaceTempView("__redirect_hops")
-    walked = spark.sql(f"""
-        WITH RECURSIVE w(url, at, chain, looped) AS (
-          SELECT url, url, array(url), false FROM __redirect_starts
-          UNION ALL
-          SELECT w.url, h.location, array_append(w.chain, h.location), array_contains(w.chain, h.location)
-          FROM w JOIN __redirect_hops h ON h.url = w.at WHERE NOT w.looped AND size(w.chain) <= {limit})
-        SELECT w.*, size(chain) AS n, h.url IS NOT NULL AS more FROM w LEFT JOIN __redirect_hops h ON h.url = w.at""")
+    # One join a hop: a recursive query has a limit of rows.
+    to = hops.select(F.col("url").alias("__from"), F.col("location").alias("__to"))
+    on, step = (F.col("at") == F.col("__from")) & ~F.col("looped"), F.col("__from").isNotNull()
+    walked = starts.select("url").distinct().select("url", F.col("url").alias("at"), F.array("url").alias("chain"), F.lit(False).alias("looped"))
+    for _ in range(limit):
+        walked = walked.join(to, on, "left").select("url", *[F.when(step, x).otherwise(F.col(c)).alias(c) for c, x in (("at", F.col("__to")), ("chain", F.array_append("chain", F.col("__to"))), ("looped", F.array_contains("chain", F.col("__to"))))])
+    walked = walked.join(to, F.col("at") == F.col("__from"), "left").select("url", "at", "chain", "looped", F.size("chain").alias("n"), step.alias("more"))
     last = only_top(walked, ["url"], [F.col("n").desc()])
     outcome = F.when(F.col("looped"), "redirect_loop").when(F.col("more"), "redirect_limit_exceeded").otherwise("ok")
     return last.select("url", F.when(outcome == "ok", F.col("at")).alias("final_url"), "chain", outcome.alias("outcome"))

@@ -590,7 +590,7 @@ def source_completion(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def throttle_fold(spark: SparkSession, sf: str) -> DataFrame:
-    e = d.table(spark, sf, "events").where("user_id < 40").select("user_id", "event_id", F.when(F.col("event_type") == "error", 429).otherwise(200).alias("status"))
+    e = d.table(spark, sf, "events").select("user_id", "event_id", F.when(F.col("event_type") == "error", 429).otherwise(200).alias("status"))
     return frontier.throttle(e, ["user_id"], "event_id", "status")
 
 
@@ -627,7 +627,7 @@ def recrawl_schedule(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def redirect_chains(spark: SparkSession, sf: str) -> DataFrame:
-    n = d.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("url"), ((F.col("c_custkey") * 7 + 3) % 200).cast("string").alias("location")).where("cast(url as int) < 150")
+    n = d.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("url"), ((F.col("c_custkey") * 7 + 3) % 200).cast("string").alias("location"))
     return urls.resolve_redirects(n.select("url"), n).select("url", "final_url", F.size("chain").alias("hops"), "outcome")
 
 

@@ -415,3 +415,29 @@ def test_vector_file_and_embed_cache(spark, tmp_path):
     first = tx.embed_missing(i.limit(1), spark.createDataFrame([], "input_sha string, vector array<float>"), 8)
     assert tx.embed_missing(i, first.select("input_sha", "vector"), 8).count() == 3
     assert tx.embed_tokens([], 4) == [1, 0, 0, 0]
+
+
+# ------------------------------------------------------------ whole inputs of registered queries
+def test_throttle_and_redirect_queries_take_all_rows(spark, tmp_path):
+    from corpuslake.plans.catalogue import QUERIES
+
+    rng = random.Random(5)
+    events = [(i, rng.choice([3, 39, 40, 77, 1_499]), rng.choice(["error", "view"])) for i in range(300)]
+    spark.createDataFrame(events, "event_id bigint, user_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(1, 402).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    want = {}
+    for _, user, kind in events:
+        a, n = want.get(user, (0, 0))
+        less = a - a // 8
+        want[user] = (min(60_000, a * 2 if a >= 1_000 else 1_000) if kind == "error" else less if less >= 100 else 0, n + 1)
+    assert {r["user_id"]: (r["backoff_ms"], r["answers"]) for r in QUERIES["throttle_fold"](spark, str(tmp_path)).collect()} == want
+    hops = {str(k): str((k * 7 + 3) % 200) for k in range(1, 402)}
+    got = {r["url"]: (r["final_url"], r["hops"], r["outcome"]) for r in QUERIES["redirect_chains"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(hops)
+    for url, found in got.items():
+        chain, looped = [url], False
+        while chain[-1] in hops and not looped and len(chain) <= 10:
+            looped = hops[chain[-1]] in chain
+            chain.append(hops[chain[-1]])
+        assert found == ((None, len(chain), "redirect_loop") if looped else (None, len(chain), "redirect_limit_exceeded") if chain[-1] in hops else (chain[-1], len(chain), "ok"))
+    assert {x[2] for x in got.values()} >= {"ok"} and len({x[2] for x in got.values()}) > 1

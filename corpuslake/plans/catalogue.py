@@ -144,7 +144,7 @@ def content_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def manifest_page_requests(spark: SparkSession, sf: str) -> DataFrame:
-    o = d.observations(spark, sf).where("page_id % 5 = 0")
+    o = d.observations(spark, sf)
     page = F.struct("source_id", F.col("page_id").cast("string").alias("page_id"), F.col("url").alias("requested_url"))
     m = o.groupBy("snapshot_id").agg(F.to_json(F.struct(F.collect_list(page).alias("pages"))).alias("record_json"))
     return history.manifest_requests(m)
@@ -184,7 +184,7 @@ def event_effectiveness(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ingestion_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    attempts = d.table(spark, sf, "events").where("event_id % 50 = 0").select(F.col("event_id").alias("attempt_id"), F.concat(F.lit("b-"), F.date_format("ts", "yyyy-MM-dd")).alias("batch_id"), "user_id")
+    attempts = d.table(spark, sf, "events").select(F.col("event_id").alias("attempt_id"), F.concat(F.lit("b-"), F.date_format("ts", "yyyy-MM-dd")).alias("batch_id"), "user_id")
     return operations.ingestion_metrics(attempts, _runs(spark, sf))
 
 

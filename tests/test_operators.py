@@ -441,3 +441,16 @@ def test_throttle_and_redirect_queries_take_all_rows(spark, tmp_path):
             chain.append(hops[chain[-1]])
         assert found == ((None, len(chain), "redirect_loop") if looped else (None, len(chain), "redirect_limit_exceeded") if chain[-1] in hops else (chain[-1], len(chain), "ok"))
     assert {x[2] for x in got.values()} >= {"ok"} and len({x[2] for x in got.values()}) > 1
+
+
+def test_ingestion_and_manifest_queries_take_all_rows(spark, tmp_path):
+    from corpuslake.plans.catalogue import QUERIES
+
+    events = spark.range(1, 121).selectExpr("id AS event_id", "id % 7 AS user_id", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, int(id % 3)) AS ts", "IF(id % 2 = 0, 'purchase', 'error') AS event_type")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["ingestion_metrics"](spark, str(tmp_path)).collect()
+    assert sorted((r["attempt_id"], r["batch_id"], r["user_id"], r["run_id"]) for r in got) == [(i, f"b-2024-01-0{i % 3 + 1}", i % 7, "run-1") for i in range(1, 121)]
+    spark.range(1, 13).selectExpr("id AS c_custkey", "IF(id % 2 = 0, 'A', 'B') AS c_mktsegment", "int(id % 4) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(1, 49).selectExpr("id AS o_orderkey", "id % 12 + 1 AS o_custkey", "IF(id <= 24, date'2024-01-05', date'2024-04-05') AS o_orderdate", "'1' AS o_orderpriority", "'F' AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted((r["snapshot_id"], int(r["page_id"]), r["source_id"], r["requested_url"]) for r in QUERIES["manifest_page_requests"](spark, str(tmp_path)).collect())
+    assert got == [(f"2024-q{q}", k, "BA"[k % 2 == 0], f"https://example.com/{k}") for q in (1, 2) for k in range(1, 13)]

@@ -77,11 +77,12 @@ def near_report(pages: DataFrame, near: DataFrame, aliases: DataFrame, origin: s
     return out.withColumn("near_duplicate_rate", F.coalesce(F.try_divide(F.col("near_duplicate_page_count").cast("double"), F.col("page_count").cast("double")), F.lit(0.0)))
 
 
-def shingle_similarity(df: DataFrame, key: list[str], text: str, sha: str, sample: int | None = 200, max_chars: int = 1_000, max_bytes: int = 4_000, at_least: float = 0.8, least_df: int = 2, most_df: int = 5, least_shared: int = 3, top: int = 500) -> DataFrame:
+def shingle_similarity(df: DataFrame, key: list[str], text: str, sha: str, sample: int | None = 200, max_chars: int | None = 1_000, max_bytes: int | None = 4_000, at_least: float = 0.8, least_df: int = 2, most_df: int = 5, least_shared: int = 3, top: int = 500) -> DataFrame:
     """Pairs by five-word shingle similarity among bounded texts: the report's own bounds (a sample in key order, text sizes, shingles of
-    document frequency 2 to 5, the best ``top``) are its definition. Rare shingles alone are joined, so no shingle pairs more than ten rows."""
+    document frequency 2 to 5, the best ``top``) are its definition; None lifts the sample or a text size. Rare shingles alone are joined, so no shingle pairs more than ten rows."""
     rows = df.orderBy(*key).limit(sample) if sample is not None else df
-    rows = rows.where((F.length(text) <= max_chars) & (F.octet_length(text) <= max_bytes))
+    for size, most in ((F.length(text), max_chars), (F.octet_length(text), max_bytes)):
+        rows = rows.where(size <= most) if most is not None else rows
     tokens = F.filter(F.split(F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " ")), " "), lambda x: x != "")
     # The words are bound as a lambda's variable, so that they are split once and not again for each shingle; the guard keeps the sequence from counting down.
     hashes = lambda w: F.when(F.size(w) >= 5, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.xxhash64(F.slice(w, i, 5)))))

@@ -339,7 +339,7 @@ def near_duplicate_report(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def shingle_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     docs = d.texts(spark, sf).withColumn("sha", F.sha2("text", 256))
-    return _rounded(dedup.shingle_similarity(docs, ["doc_id"], "text", "sha", sample=None, max_chars=10_000, max_bytes=40_000))
+    return _rounded(dedup.shingle_similarity(docs, ["doc_id"], "text", "sha", sample=None, max_chars=None, max_bytes=None))
 
 
 @query

@@ -454,3 +454,17 @@ def test_ingestion_and_manifest_queries_take_all_rows(spark, tmp_path):
     spark.range(1, 49).selectExpr("id AS o_orderkey", "id % 12 + 1 AS o_custkey", "IF(id <= 24, date'2024-01-05', date'2024-04-05') AS o_orderdate", "'1' AS o_orderpriority", "'F' AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
     got = sorted((r["snapshot_id"], int(r["page_id"]), r["source_id"], r["requested_url"]) for r in QUERIES["manifest_page_requests"](spark, str(tmp_path)).collect())
     assert got == [(f"2024-q{q}", k, "BA"[k % 2 == 0], f"https://example.com/{k}") for q in (1, 2) for k in range(1, 13)]
+
+
+def test_shingle_query_pairs_long_texts(spark, tmp_path):
+    from corpuslake.plans.catalogue import QUERIES
+
+    rng = random.Random(6)
+    texts = [[f"w{rng.randrange(5_000)}" for _ in range(n)] for n in (30, 3_000, 3_000)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(i + 10, " ".join([*t[:-1], "end"])) for i, t in enumerate(texts)] + [(20, None)]
+    assert len(rows[1][1]) > 10_000
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: {tuple(t.split()[a : a + 5]) for a in range(len(t.split()) - 4)} for i, t in rows if t}
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    got = {(r["left_doc_id"], r["right_doc_id"]): round(r["jaccard"], 6) for r in QUERIES["shingle_jaccard"](spark, str(tmp_path)).collect()}
+    assert got == want and set(want) == {(0, 10), (1, 11), (2, 12)}

@@ -6,9 +6,8 @@ that minimise total padding when every document is padded to the bound of its bu
 (doc_id mod chunks, doc_id); places come from counts of these chunks and a rank inside each, so no bucket is ever sorted in one task, and only a
 bucket's last batch is short.
 
-The histogram has one entry per distinct length, at most the longest length; above ``EXACT_LENGTHS`` entries lengths are rounded up to a grid
-of relative width 2^-12 before the program runs, which bounds the driver's table (to about 4096 entries per doubling) and changes
-bounds by less than 0.025 %. Below it the result is exactly optimal.
+The histogram has one entry per distinct length, at most the longest length; n of them take at least n²/2 words of text, so that the driver's
+table grows with the square root of the input. The result is always exactly optimal.
 
 Cases: null texts have length 0; documents of length 0 are in the first bucket, whose bound is at least 1; a document above the budget is
 a batch of its own; equal lengths share a bucket; with fewer distinct lengths than buckets each gets its own bound; of equally good bounds the
@@ -25,8 +24,8 @@ from pyspark.sql import functions as F
 from corpuslake.llm.common import need
 from corpuslake.session import keep
 
-#: Buckets; tokens in a batch; histogram entries up to which the program is exact; documents in a chunk.
-BUCKETS, BUDGET, EXACT_LENGTHS, CHUNK = 8, 16_384, 200_000, 2_048
+#: Buckets; tokens in a batch; documents in a chunk.
+BUCKETS, BUDGET, CHUNK = 8, 16_384, 2_048
 
 
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -71,9 +70,6 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKE
 
 def bounds_of(df: DataFrame, length: str, buckets: int = BUCKETS) -> list[int]:
     counted = df.groupBy(F.greatest(F.col(length), F.lit(1)).cast("long").alias("l")).agg(F.count("*").alias("n"))
-    if counted.count() > EXACT_LENGTHS:
-        step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2("l")) - 12, F.lit(0)))
-        counted = counted.groupBy((F.ceil(F.col("l") / step) * step).cast("long").alias("l")).agg(F.sum("n").alias("n"))
     table = counted.orderBy("l").toPandas()
     return optimal_bounds(table["l"].to_numpy(), table["n"].to_numpy(), buckets)
 

@@ -57,6 +57,12 @@ def e_bytes(i):
 
 
 # ------------------------------------------------------------ 2: packing
+def test_bounds_of_many_lengths_are_lengths(spark):
+    df = spark.range(200_100).selectExpr("2 * id + 1048577 AS n")
+    bounds = packing.bounds_of(df, "n", 2)
+    assert all(b % 2 == 1 for b in bounds) and bounds == [1_048_577 + 2 * (200_100 // 2 - 1), 1_048_577 + 2 * 200_099]
+
+
 def brute_bounds(lengths, counts, k):
     best = None
     m = len(lengths)

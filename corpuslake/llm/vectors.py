@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.llm.common import need
@@ -98,7 +98,7 @@ def _tile(threshold: float):
     def run(key, batch):
         side, ids, copies = batch.column("side").to_numpy(), batch.column("id").to_numpy(), batch.column("copies").to_numpy()
         m = matrix(batch.column("v").combine_chunks())
-        same = key[1].as_py() == key[2].as_py()
+        same = key[2].as_py() == key[3].as_py()
         left = np.nonzero(side == 0)[0]
         right = left if same else np.nonzero(side == 1)[0]
         if not len(left) or not len(right):
@@ -134,19 +134,22 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     computes in double precision what the error bounds can't exclude. It returns, for each vector, how many it links and a spanning
     forest of its links, so that rows stay linear in the tile while no link is lost to counts or components.
 
-    Cases: a null label links with nothing; so do unusable vectors; vectors of unequal lengths never link; rows that share a vec_id are
-    each counted as a vector and get the component of that id; a null vec_id links with nothing, its component is null and it is kept;
-    an empty table gives an empty result.
+    Cases: a null label links with nothing; so do unusable vectors; vectors of unequal lengths never link; rows that share a vec_id are each
+    a vector of their own: ``n_links`` counts all other rows that a row links with, whatever their ids, and a row takes the component of its own vector
+    and label; a null vec_id links with nothing, its component is null and it is kept; an empty table gives an empty result. Other columns are ignored.
     """
     need(df, vec_id, vector, label)
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), narrow(df, vector)[0].alias("v"), F.col(label).cast("string").alias("label"))
     good = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable("v"))
     good = good.withColumn("dims", F.size("v"))
-    classes = keep(good.groupBy("label", "dims", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vectors")
+    # A class of equal vectors is a node by a number of its own, fixed once it is written; its smallest vec_id only names components.
+    classes = good.groupBy("label", "dims", "v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
+    classes = keep(classes.withColumn("id", F.monotonically_increasing_id()), "vectors")
     sizes = classes.groupBy("label", "dims").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = classes.join(keep(sizes, "sizes"), ["label", "dims"]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     tiles = dealt.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.xxhash64("label", "dims").alias("family"),
+        "label",
+        "dims",
         F.least("mine", "theirs").alias("i"),
         F.greatest("mine", "theirs").alias("j"),
         F.when(F.col("mine") <= F.col("theirs"), 0).otherwise(1).alias("side"),
@@ -154,15 +157,17 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
         "copies",
         "v",
     )
-    found = keep(tiles.groupBy("family", "i", "j").applyInArrow(_tile(threshold), _FOUND), "tiles")
+    found = keep(tiles.groupBy("label", "dims", "i", "j").applyInArrow(_tile(threshold), _FOUND), "tiles")
     free_shuffles(df.sparkSession)
     links = found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
     # Equal vectors under one representative: their own links are counted, and they share its component.
-    comp = keep(components(links), "components")
+    comp = components(links).join(classes.select(F.col("id").alias("node"), "first_id"), "node")
+    named_comp = comp.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    comp = keep(comp.join(named_comp, "component").select("node", "component_id"), "components")
     counted = found.where("other IS NULL").groupBy("node").agg(F.sum("n_links").alias("linked"))
     named = keep(
         classes.join(comp, F.col("id") == F.col("node"), "left").drop("node").join(counted, F.col("id") == F.col("node"), "left")
-        .select("label", "v", F.coalesce("component", "id").alias("component_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("linked")),
+        .select("label", "v", F.coalesce("component_id", "first_id").alias("component_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("linked")),
         "named",
     )
     shown = rows.withColumn("ok", F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable("v"))
@@ -177,8 +182,12 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
 
 
 # ================================================================ inverted multi-index
-#: Centroids for each half; vectors the codebooks are fitted on at most; share of the entries a query scans at least; entries in a shard, queries in a block.
-CENTROIDS, FIT_ROWS, SCAN, SHARD, QUERY_BLOCK = 32, 20_000, 0.6, 4_096, 512
+#: Centroids for each half; vectors that the codebooks are fitted on at most; queries that calibrate at most, and the share of their neighbours that they must find.
+CENTROIDS, FIT_ROWS, CALIBRATE, TARGET = 64, 20_000, 256, 0.94
+#: Components of the entries in a shard (4,096 vectors of 64); queries in a run.
+SHARD_VALUES, QUERY_RUN = 1 << 18, 4_096
+#: Far above the rounding error of a product of unit length in double precision.
+MARGIN = 1e-9
 
 
 def fit_half(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -216,55 +225,151 @@ def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, least: i
     return out
 
 
-def _search(k: int, n_cells: int):
-    def run(key, batch):
-        role, ids, cells = batch.column("role").to_numpy(), batch.column("id").to_numpy(), batch.column("cell").to_numpy()
-        m = matrix(batch.column("v").combine_chunks())
-        asked, own = np.nonzero(role == 0)[0], np.nonzero(role == 1)[0]
-        own = own[np.lexsort((ids[own], cells[own]))]
-        entries, eid = m[own], ids[own]
-        starts = np.searchsorted(cells[own], np.arange(n_cells + 1))
-        plans = batch.column("cells").to_pylist()
-        q_out, v_out, s_out = [], [], []
-        for q in asked.tolist():
-            plan = np.frombuffer(plans[q], np.int32)
-            a, n = starts[plan], starts[plan + 1] - starts[plan]
-            a, n = a[n > 0], n[n > 0]
-            if not len(n):
-                continue
-            rows = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-            score = entries[rows] @ m[q]
-            there = eid[rows] != ids[q]
-            rows, score = rows[there], score[there]
-            if len(rows) > 4 * k:
-                # All that tie with the k-th largest stay.
+class Codebooks:
+    """Centroids of both halves."""
+
+    def __init__(self, x: np.ndarray, half: int, k: int) -> None:
+        self.half = half
+        self.one = fit_half(x[:, :half], k)
+        self.two = fit_half(x[:, half:], k) if x.shape[1] > half else np.zeros((1, 0))
+        self.width = len(self.two)
+        self.cells = len(self.one) * self.width
+
+    def cell(self, v: np.ndarray) -> np.ndarray:
+        if not len(v):
+            return np.empty(0, np.int64)
+        return nearest(v[:, : self.half], self.one) * self.width + (nearest(v[:, self.half :], self.two) if self.width > 1 else 0)
+
+    def distances(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each half adds to the distance of its centroids: here growing distance is falling inner product."""
+        return -(self.one @ q[: self.half]), -(self.two @ q[self.half :])
+
+
+def calibrate(books: Codebooks, ids: np.ndarray, x: np.ndarray, asked_ids: np.ndarray, asked: np.ndarray, k: int, target: float) -> float:
+    """The share of entries that a walk by distance must reach to find ``target`` of the k nearest of the asked vectors among the sample ``x``.
+
+    Nearest among a sample are further away than nearest among all, so that the share is rather too large than too small for all.
+    """
+    sizes, cell = np.bincount(books.cell(x), minlength=books.cells), books.cell(x)
+    needed = []
+    for i, q in zip(asked_ids.tolist(), asked):
+        score = x @ q
+        score[ids == i] = -np.inf
+        top = np.argsort(-score, kind="stable")[: min(k, int((ids != i).sum()))]
+        a, b = books.distances(q)
+        far = (a[:, None] + b[None, :]).ravel()
+        order = np.argsort(far, kind="stable")
+        reached = np.empty(books.cells)
+        reached[order] = np.cumsum(sizes[order])
+        needed.append(reached[cell[top]] / len(x))
+    flat = np.sort(np.concatenate([*needed, np.empty(0)]))
+    return float(flat[min(len(flat) - 1, int(np.ceil(target * len(flat))))]) if len(flat) else 1.0
+
+
+def shards_of(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell its first shard and in how many it lies: cells side by side share a shard of up to ``most`` entries, a larger cell is cut into parts."""
+    first, parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    shard, held = 0, 0
+    for c, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            shard, held = shard + 1, 0
+        first[c] = shard
+        if n > most:
+            parts[c] = -(-n // most)
+            shard += int(parts[c])
+        else:
+            held += n
+    return first, parts
+
+
+def exact(entries: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in double precision, each summed in the same order wherever its vector stands."""
+    return np.einsum("ij,j->i", np.ascontiguousarray(entries), q)
+
+
+class _Shard:
+    """The entries of one shard, in order of cell and id."""
+
+    def __init__(self, ids: np.ndarray, cells: np.ndarray, v: np.ndarray) -> None:
+        order = np.lexsort((ids, cells))
+        self.ids, self.v, sorted_cells = ids[order], v[order], cells[order]
+        self.cells, self.starts = np.unique(sorted_cells, return_index=True)
+        self.ends = np.append(self.starts[1:], len(order))
+        self.span = np.sqrt((self.v * self.v).sum(axis=1)).max(initial=0.0)
+
+    def best(self, ids: np.ndarray, q: np.ndarray, plans: list[bytes], k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each query the k nearest entries in the cells of its plan: (ids of the query repeated, ids, scores).
+
+        Each cell is multiplied by the queries that ask for it; of a query's products those stay that can be among the k largest in double precision.
+        """
+        asks = np.zeros((len(plans), len(self.cells)), bool)
+        for n, plan in enumerate(plans):
+            asks[n] = np.isin(self.cells, np.frombuffer(plan, np.int32))
+        product = np.full((len(plans), len(self.ids)), -np.inf)
+        for c, (a, z) in enumerate(zip(self.starts.tolist(), self.ends.tolist())):
+            if len(who := np.nonzero(asks[:, c])[0]):
+                product[who, a:z] = q[who] @ self.v[a:z].T
+        product[self.ids[None, :] == ids[:, None]] = -np.inf
+        out = []
+        for n, score in enumerate(product):
+            rows = np.nonzero(score > -np.inf)[0]
+            if len(rows) > k:
                 cut = np.partition(score, len(score) - k)[len(score) - k]
-                top = score >= cut - 1e-9
-                rows, score = rows[top], score[top]
-            order = np.lexsort((eid[rows], -score))[: 2 * k]
-            # The reported product is computed on its own, so that it doesn't depend on the block it was found in.
-            score = np.array([float(np.dot(m[q], entries[r])) for r in rows[order]])
-            again = np.lexsort((eid[rows[order]], -score))[:k]
-            q_out.append(np.full(len(again), ids[q]))
-            v_out.append(eid[rows[order]][again])
-            s_out.append(score[again])
-        empty = np.empty(0, np.int64)
-        return pa.table({"query_id": np.concatenate([*q_out, empty]).astype(np.int64), "vec_id": np.concatenate([*v_out, empty]).astype(np.int64), "score": np.concatenate([*s_out, np.empty(0)])})
+                rows = np.nonzero(score >= cut - MARGIN * max(1.0, self.span * float(np.linalg.norm(q[n]))))[0]
+            score = exact(self.v[rows], q[n])
+            order = np.lexsort((self.ids[rows], -score))[:k]
+            out.append((np.full(len(order), ids[n]), self.ids[rows][order], score[order]))
+        return out
+
+
+_HITS = "query_id bigint, vec_id bigint, score double"
+
+
+def _scan(k: int):
+    """Rows sorted by (shard, run, role): the entries of a run are held, its queries stream past them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shard, waiting = None, None, []
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy() for c in ("shard", "run", "role")], axis=1)
+            bounds = [0, *(np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1).tolist(), len(keys)]
+            for a, z in zip(bounds, bounds[1:]):
+                if a == z:
+                    continue
+                part, key, role = b.slice(a, z - a), tuple(keys[a, :2].tolist()), keys[a, 2]
+                if key != now:
+                    now, shard, waiting = key, None, []
+                ids, v = part.column("id").to_numpy(), matrix(part.column("v"))
+                if role == 0:
+                    waiting.append((ids, part.column("cell").to_numpy(), v))
+                    continue
+                if shard is None:
+                    if not waiting:
+                        continue
+                    shard, waiting = _Shard(*(np.concatenate(x) for x in zip(*waiting))), []
+                plans = part.column("cells").to_pylist()
+                for s in range(0, len(ids), 256):
+                    if found := shard.best(ids[s : s + 256], v[s : s + 256], plans[s : s + 256], k):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", scan: float = SCAN) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", scan: float | None = None, target: float = TARGET) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query its k largest inner products among all rows but its own, by an inverted multi-index.
 
     The two halves of a vector are quantised apart; a cell is a pair of centroids. Codebooks are fitted on at most ``FIT_ROWS`` rows (those
     of smallest hash); every row is indexed. A query walks the pairs of centroids by their summed distance with a heap until cells
-    with ``scan`` of all entries are out, and all their entries are reranked by the inner product in double precision. Entries are dealt to shards of
-    about ``SHARD`` rows by hash, queries to blocks; each (block, shard) is one bounded task, and only its k best per query go on.
-    If vectors differ in length from the most frequent length, they take no part.
+    with ``scan`` of all entries are out, and their entries are reranked by the inner product in double precision. Unless given, ``scan`` is calibrated: at most
+    ``CALIBRATE`` queries must find ``target`` of their nearest in the sample (clustered vectors need little of the index, unclustered ones much).
 
-    Cases: unusable vectors and null ids take no part, as queries or entries; rows that repeat a vec_id are entries of their own, but a
-    query never finds its own id; ties go to the smaller vec_id; fewer than k candidates give fewer rows; an empty table gives none.
+    Entries move once, to shards of neighbouring cells of bounded size (a cell above the bound lies in several, by hash of id, so that copies of one
+    vector don't make a hot one). A query goes to the shards that hold cells of its plan, with those cells alone; queries of a shard come in runs of about
+    ``QUERY_RUN``, each with a copy of the shard. A task holds one shard and streams queries; k hits for each query and shard go on.
+
+    Cases: vectors that differ in length from the most frequent length take no part; nor do unusable vectors and null ids, as queries or entries; rows that
+    repeat a vec_id are entries of their own, but a query never finds its own id, and queries that repeat an id are asked once (that of the least vector);
+    ties go to the smaller vec_id; fewer than k candidates give fewer rows; an empty table gives none.
     """
     need(df, vec_id, vector)
     need(queries, vec_id, vector)
@@ -277,43 +382,55 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id
     if lengths is None:
         return empty
     dims, total = int(lengths["d"]), int(lengths["count"])
-    rows, asked = rows.where(F.size("v") == dims), asked.where(F.size("v") == dims)
-    half = dims // 2 if dims > 1 else 1
-    # A bounded sample: ids of smallest hash, then their vectors.
-    picked = rows.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(FIT_ROWS).select("id").distinct()
-    sample = rows.join(F.broadcast(picked), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toArrow()
-    x = matrix(sample.column("v").combine_chunks())
-    one, two = fit_half(x[:, :half], CENTROIDS), fit_half(x[:, half:], CENTROIDS) if dims > half else np.zeros((1, 0))
-    width, n_cells = len(two), len(one) * len(two)
+    rows = rows.where(F.size("v") == dims)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: counts of tasks are given, so that AQE doesn't merge them
+    asked = keep(asked.where(F.size("v") == dims).repartition(tasks, "id").groupBy("id").agg(F.min("v").alias("v")), "asked")
+
+    def sample(of: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bounded: the ids of smallest hash, then their vectors."""
+        picked = of.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(most).select("id").distinct()
+        got = of.join(F.broadcast(picked), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(most).select("id", "v").toArrow().combine_chunks()
+        return got.column("id").to_numpy(), matrix(got.column("v").combine_chunks())
+
+    ids, x = sample(rows, FIT_ROWS)
+    books = Codebooks(x, dims // 2 if dims > 1 else 1, CENTROIDS)
+    if scan is None:
+        scan = calibrate(books, ids, x, *sample(asked, CALIBRATE), k, target)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = matrix(b.column("v"))
-            cell = nearest(v[:, :half], one) * width + (nearest(v[:, half:], two) if half < v.shape[1] else 0) if len(v) else np.empty(0)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(cell, pa.int32())], names=["id", "v", "cell"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(books.cell(matrix(b.column("v"))), pa.int32())], names=["id", "v", "cell"])
 
     entries = keep(rows.mapInArrow(index, f"id bigint, v {kind}, cell int"), "entries")
-    sizes = np.zeros(n_cells, np.int64)  # bounded: one count for each pair of centroids
+    sizes = np.zeros(books.cells, np.int64)  # bounded: one count for each pair of centroids
     for r in entries.groupBy("cell").count().collect():
         sizes[r["cell"]] = r["count"]
     least = min(total, max(int(np.ceil(scan * total)), 40 * k))
+    first, parts = shards_of(sizes, max(1, SHARD_VALUES // dims))
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells = []
-            for q in matrix(b.column("v")):
-                # Growing distance is falling inner product here: -q·c for each half.
-                cells.append(np.array(traverse(-(one @ q[:half]), -(two @ q[half:]), sizes, least), np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(cells, pa.binary())], names=["id", "v", "cells"])
-
-    shards = max(1, round(total / SHARD))
-    blocks = max(1, round(asked.count() / QUERY_BLOCK))
-    planned = asked.mapInArrow(plan, f"id bigint, v {kind}, cells binary")
-    shard_list, block_list = F.sequence(F.lit(0), F.lit(shards - 1)), F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = planned.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(shard_list).alias("shard"), F.lit(0).alias("role"), "id", "v", F.lit(-1).alias("cell"), "cells")
-    right = entries.select(F.explode(block_list).alias("block"), F.pmod(F.xxhash64("id", "cell"), F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("role"), "id", "v", "cell", F.lit(None).cast("binary").alias("cells"))
-    hits = left.union(right).groupBy("block", "shard").applyInArrow(_search(k, n_cells), "query_id bigint, vec_id bigint, score double")
-    from pyspark.sql import Window
-
+            out: list[tuple[int, int, bytes]] = []
+            for n, q in enumerate(matrix(b.column("v"))):
+                cells = np.sort(np.array(traverse(*books.distances(q), sizes, least), np.int32))
+                where = first[cells]
+                for a, z in zip(bounds := [0, *(np.nonzero(np.diff(where))[0] + 1).tolist()], [*bounds[1:], len(cells)]):
+                    # A cell that is cut into parts lies in no shard with others.
+                    out += [(n, int(where[a]) + p, cells[a:z].tobytes()) for p in range(int(parts[cells[a]]))]
+            at = pa.array([n for n, _, _ in out], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([s for _, s, _ in out], pa.int32()), b.column("id").take(at), b.column("v").take(at), pa.array([c for _, _, c in out], pa.binary())], names=["shard", "id", "v", "cells"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, spread = b.column("cell").to_numpy(), b.column("spread").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(first[cell] + spread % parts[cell], pa.int32()), *(b.column(c) for c in ("id", "v", "cell"))], names=["shard", "id", "v", "cell"])
+
+    # Each query's plan holds about as many shards as any other's, so that all shards take one number of runs.
+    runs = max(1, -(-asked.count() // QUERY_RUN))
+    dealt = entries.withColumn("spread", F.pmod(F.xxhash64("id"), F.lit(1 << 40))).mapInArrow(placed, f"shard int, id bigint, v {kind}, cell int")
+    left = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), F.lit(0).alias("role"), "id", "v", "cell", F.lit(None).cast("binary").alias("cells"))
+    right = asked.repartition(tasks, "id").mapInArrow(plan, f"shard int, id bigint, v {kind}, cells binary").select("shard", F.pmod(F.xxhash64("id"), F.lit(runs)).cast("int").alias("run"), F.lit(1).alias("role"), "id", "v", F.lit(-1).alias("cell"), "cells")
+    several = min(int((first + parts).max(initial=1)) * runs, 16 * tasks)
+    hits = left.union(right).repartition(several, "shard", "run").sortWithinPartitions("shard", "run", "role").mapInArrow(_scan(k), _HITS)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -212,6 +212,40 @@ def test_search_recall(spark):
     assert hit / 600 >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_search_recall_on_embeddings(spark, sf):
+    t = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").toPandas()
+    x, ids = np.stack(t["embedding"].to_numpy()).astype(float), t["vec_id"].to_numpy()
+    found = registry.op4_multi_index(spark, f"/root/testdata/{sf}").toPandas()
+    hit, asked = 0, np.nonzero(ids % 20 == 0)[0]
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -np.inf
+        own = found[found["query_id"] == ids[q]].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 21))
+        hit += len(set(own["vec_id"]) & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    assert hit / (20 * len(asked)) >= 0.9
+
+
+def test_search_keeps_ties_of_many_copies_in_order(spark):
+    rng = np.random.default_rng(6)
+    one = rng.normal(size=48)
+    x = np.concatenate([np.tile(one, (700, 1)), rng.normal(size=(300, 48))])
+    ids = rng.permutation(1_000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id bigint, embedding array<double>").withColumns({"shard": F.lit(1), "cell": F.lit("c"), "cells": F.lit(2)})
+    saved, vectors.SHARD_VALUES = vectors.SHARD_VALUES, 48 * 100
+    try:
+        found = vectors.search(df, df.where(F.col("vec_id") == int(ids[0])), 20).collect()
+    finally:
+        vectors.SHARD_VALUES = saved
+    assert [(r["rank"], r["vec_id"]) for r in sorted(found, key=lambda r: r["rank"])] == list(enumerate(sorted(set(ids[:700].tolist()) - {int(ids[0])})[:20], 1))
+
+
+def test_large_cells_lie_in_several_shards():
+    first, parts = vectors.shards_of(np.array([3, 4, 30, 0, 5, 5]), 10)
+    assert first.tolist() == [0, 0, 1, 4, 4, 4] and parts.tolist() == [1, 1, 3, 1, 1, 1]
+
+
 def test_cells_come_by_growing_distance():
     rng = np.random.default_rng(4)
     a, b, n = rng.random(5), rng.random(7), rng.integers(0, 3, 35)
@@ -242,6 +276,13 @@ def test_near_vectors_equal_brute_force(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_repeated_vector_ids_count_apart(spark):
+    a, b, c = [1.0, 0.0], [0.0, 1.0], [1.0, 0.01]
+    rows = [(1, a, "x"), (1, b, "x"), (2, a, "x"), (3, b, "y"), (1, a, "y"), (4, c, "x"), (1, a, "x")]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")).collect())
+    assert got == [(1, 0, 1), (1, 0, 1), (1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 0, 3), (4, 3, 1)]
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(60, 64))

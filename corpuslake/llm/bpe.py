@@ -2,13 +2,18 @@
 
 Each Arrow batch sends its not yet known pre-tokens to a recursive query. Its rows are token positions ``(w, pos, tok)``;
 each step joins neighbouring positions to the merge table, finds for every word the leftmost pair of minimum rank, contracts
-it, and drops words that have no pair left. Decoding joins token rows to the vocabulary and concatenates them by an
+it, and drops words that have no pair left. Pre-tokens above ``LONG_BYTES`` bytes take a recursion keyed by position: rows keep the rank of
+their pair, so that a step changes the four positions about each contraction and joins two new pairs to the merge table, and leaves all others as they
+are. Decoding joins token rows to the vocabulary and concatenates them by an
 ordered aggregation. Nothing is shuffled: the work is bounded by a batch and a bounded memory of known words.
 
+A long pre-token is first cut where no token of the vocabulary can cross: where the two bytes beside the cut are no token, and neither they with the byte
+before nor with the byte after stand in any token. No pair is ever contracted across such a place, so that its parts are encoded apart.
+
 Cases: a null text encodes as the empty text; an empty text has no ids; a null list of ids decodes as null; null ids within a list
-are skipped; an id outside the vocabulary is an error. Texts of any length are split whole; a single pre-token above
+are skipped; an id outside the vocabulary is an error. Texts of any length are split whole; a part above
 ``HEAP_BYTES`` bytes is contracted by the same rule (leftmost pair of minimum rank) with a heap, since the number of recursive steps grows with
-its length. Extra columns pass through; a column named like an output gives way to it.
+its length. Repeated rows each get their own result. Extra columns pass through; a column named like an output gives way to it.
 """
 
 from __future__ import annotations
@@ -27,8 +32,10 @@ from pyspark.sql import DataFrame
 
 from corpuslake.llm.common import map_added, need
 
-#: Pre-tokens in one recursive query; bytes from which a pre-token goes to the heap; pre-tokens a worker remembers.
-CHUNK_WORDS, HEAP_BYTES, KNOWN_WORDS = 32_768, 2_048, 1_000_000
+#: Bytes above which a part takes the keyed recursion, and above which the heap; pre-tokens a worker remembers.
+LONG_BYTES, HEAP_BYTES, KNOWN_WORDS = 192, 2_048, 1_000_000
+#: Most rows that the steps of one recursive query make (about the sum of squared lengths), and most positions of one keyed query.
+CHUNK_ROWS, CHUNK_POSITIONS = 4_000_000, 100_000
 #: Tokens in one decoding query.
 DECODE_TOKENS = 1_000_000
 
@@ -54,6 +61,29 @@ WITH RECURSIVE t(w, pos, tok, next_pos, next_tok, live) AS (
 )
 SELECT w, list(tok ORDER BY pos) AS ids FROM t WHERE NOT live GROUP BY w
 """
+KEYED = """
+WITH RECURSIVE t(w, pos, tok, prv, nxt, m) USING KEY (w, pos) AS (
+  SELECT w, pos, tok, pos - 1, coalesce(next_pos, -1), m FROM (SELECT *, tok * 65536::BIGINT + next_tok AS pair FROM seed) LEFT JOIN merges USING (pair)
+  UNION ALL
+  SELECT w, c.pos, c.tok, c.prv, c.nxt, CASE WHEN c.pair IS NULL THEN c.m ELSE q.m END
+  FROM (
+    SELECT w, unnest([
+      {'pos': spot, 'tok': made, 'prv': before, 'nxt': after, 'm': NULL::INTEGER, 'pair': coalesce(made * 65536::BIGINT + after_tok, -1)},
+      {'pos': gone, 'tok': -1, 'prv': -1, 'nxt': -1, 'm': NULL, 'pair': NULL},
+      {'pos': after, 'tok': after_tok, 'prv': spot, 'nxt': after_nxt, 'm': after_m, 'pair': NULL},
+      {'pos': before, 'tok': before_tok, 'prv': before_prv, 'nxt': spot, 'm': NULL, 'pair': before_tok * 65536::BIGINT + made}]) AS c
+    FROM (
+      SELECT r.w, any_value(made) AS made, any_value(spot) AS spot, any_value(gone) AS gone, max(r.prv) FILTER (pos = spot) AS before, max(r.nxt) FILTER (pos = gone) AS after,
+        max(r.tok) FILTER (r.prv = gone) AS after_tok, max(r.nxt) FILTER (r.prv = gone) AS after_nxt, max(r.m) FILTER (r.prv = gone) AS after_m,
+        max(r.tok) FILTER (r.nxt = spot) AS before_tok, max(r.prv) FILTER (r.nxt = spot) AS before_prv
+      FROM recurring.t r JOIN (
+        SELECT w, (v >> 32)::INTEGER AS made, ((v >> 16) & 65535)::INTEGER AS spot, (v & 65535)::INTEGER AS gone
+        FROM (SELECT w, min((m::BIGINT << 32) + (pos << 16) + nxt) AS v FROM recurring.t WHERE m IS NOT NULL GROUP BY w)) b ON r.w = b.w
+      WHERE pos = spot OR pos = gone OR r.prv = gone OR r.nxt = spot GROUP BY r.w))
+  LEFT JOIN merges q ON q.pair = c.pair WHERE c.pos >= 0
+)
+SELECT w, list(tok ORDER BY pos) AS ids FROM t WHERE tok >= 0 GROUP BY w
+"""
 DECODE = "SELECT doc, list(b ORDER BY pos) AS pieces FROM tokens JOIN vocab USING (id) GROUP BY doc"
 
 
@@ -91,6 +121,14 @@ class Engine:
                 if (x := get(b[:k])) is not None and (y := get(b[k:])) is not None:
                     pairs.append(x * 65_536 + y)
                     made.append(rank)
+        # Two bytes that are a token; three that stand side by side in one.
+        self.pairs, self.triples = np.zeros(1 << 16, bool), np.zeros(1 << 24, bool)
+        for b in self.ranks:
+            if len(b) == 2:
+                self.pairs[int.from_bytes(b)] = True
+            elif len(b) > 2:
+                x = np.frombuffer(b, np.uint8).astype(np.int32)
+                self.triples[(x[:-2] << 16) | (x[1:-1] << 8) | x[2:]] = True
         self._fill("merges", {"pair": pa.array(pairs, pa.int64()), "m": pa.array(made, pa.int32())})
 
     def _fill(self, name: str, columns: dict) -> None:
@@ -104,34 +142,54 @@ class Engine:
 
     def learn(self, words: set[str]) -> None:
         """Encode words that aren't known yet."""
-        todo: list[tuple[str, bytes]] = []
+        parts: dict[str, list[bytes]] = {}
         for w in words:
             b = w.encode()
             if (rank := self.ranks.get(b)) is not None:
                 self.known[w] = struct.pack("i", rank)
-            elif len(b) > HEAP_BYTES:
-                self.known[w] = np.array(self.heap(b), np.int32).tobytes()
             else:
-                todo.append((w, b))
-        todo.sort(key=lambda x: len(x[1]))  # words of one query then take about as many steps
-        for a in range(0, len(todo), CHUNK_WORDS):
-            self._contract(todo[a : a + CHUNK_WORDS])
-
-    def _contract(self, part: list[tuple[str, bytes]]) -> None:
-        lens = np.array([len(b) for _, b in part])
-        flat = np.frombuffer(b"".join(b for _, b in part), np.uint8)
+                parts[w] = [b] if len(b) <= LONG_BYTES else self.cut(b)
+        todo = sorted({b for bs in parts.values() for b in bs}, key=len)  # those of one query then take about as many steps
+        made: dict[bytes, bytes] = {}
+        start = steps = positions = 0
+        for i, b in enumerate([*todo, None]):
+            n = len(b) if b is not None else HEAP_BYTES + 1
+            long = n > LONG_BYTES
+            full = positions + n > CHUNK_POSITIONS if long else steps + n * n > CHUNK_ROWS
+            if i > start and (full or n > HEAP_BYTES or long != (len(todo[start]) > LONG_BYTES)):
+                self._contract(todo[start:i], made)
+                start, steps, positions = i, 0, 0
+            if n > HEAP_BYTES:
+                break
+            steps, positions = steps + n * n, positions + n
+        for b in todo[start:]:
+            made[b] = np.array(self.heap(b), np.int32).tobytes()
+        for w, bs in parts.items():
+            self.known[w] = made[bs[0]] if len(bs) == 1 else b"".join(map(made.__getitem__, bs))
+
+    def cut(self, b: bytes) -> list[bytes]:
+        """The parts of a pre-token between the places that no token of the vocabulary can cross."""
+        x = np.frombuffer(b"\0" + b + b"\0", np.uint8).astype(np.int32)  # a zero beside the ends can only forbid a cut
+        three = (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]  # b[i - 1], b[i], b[i + 1]
+        crossed = self.pairs[three[:-1] & 0xFFFF] | self.triples[three[:-1]] | self.triples[three[1:]]
+        at = [0, *(np.nonzero(~crossed)[0] + 1).tolist(), len(b)]
+        return [b[a:z] for a, z in zip(at, at[1:])]
+
+    def _contract(self, part: list[bytes], made: dict[bytes, bytes]) -> None:
+        lens = np.array([len(b) for b in part])
+        flat = np.frombuffer(b"".join(part), np.uint8)
         pos = (np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.int32)
         tok = self.byte_ids[flat]
         last = np.zeros(len(flat), bool)
         last[np.cumsum(lens) - 1] = True
         seed = pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), lens), "pos": pos, "tok": tok, "next_pos": pa.array(pos + 1, mask=last), "next_tok": pa.array(np.roll(tok, -1), mask=last)})
         self.db.register("seed", seed)
-        got = self.db.sql(CONTRACT).to_arrow_table().combine_chunks()
+        got = self.db.sql(KEYED if lens.max() > LONG_BYTES else CONTRACT).to_arrow_table().combine_chunks()
         self.db.unregister("seed")
         lists = got.column(1).chunk(0)
         data, ends = lists.values.to_numpy().astype(np.int32).tobytes(), (4 * lists.offsets.to_numpy().astype(np.int64)).tolist()
         for k, w in enumerate(got.column(0).to_pylist()):
-            self.known[part[w][0]] = data[ends[k] : ends[k + 1]]
+            made[part[w]] = data[ends[k] : ends[k + 1]]
 
     def heap(self, b: bytes) -> list[int]:
         """The same contraction for one very long pre-token: a linked list and a heap of (rank, position)."""

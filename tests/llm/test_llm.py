@@ -47,6 +47,30 @@ def test_bpe_heap_and_recursion_agree():
         assert np.frombuffer(e.known[w], np.int32).tolist() == ([RANKS[w.encode()]] if w.encode() in RANKS else e.heap(w.encode()))
 
 
+def test_bpe_long_pre_tokens():
+    import time
+
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    e, rng = bpe.Engine(PATH, PATTERN), random.Random(5)
+    letters, cjk, thai = "abcdefghijklmnopqrstuvwxyz", [chr(0x4E00 + i) for i in range(3_000)], [chr(0x0E01 + i) for i in range(46)]
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a, n in ((letters, 193), (letters, 700), (cjk, 5_000), (thai, 3_000), ("ab", 900), ("é", 400), ("a", 1_999), (letters, 2_049), (cjk + list(letters), 2_000))]
+    for t, ids in zip(texts, e.encode(texts)):
+        assert ids.tolist() == enc.encode_ordinary(t)
+    some = ["".join(rng.choice(letters) for _ in range(2_000)) for _ in range(10)]
+    began = time.process_time()
+    got = e.encode(some)
+    assert time.process_time() - began < 15  # about 0.3 s each
+    assert [x.tolist() for x in got] == [enc.encode_ordinary(t) for t in some]
+
+
+def test_bpe_cuts_nothing_a_token_crosses():
+    e = bpe.Engine(PATH, PATTERN)
+    for b in sorted(RANKS, key=len)[-2_000:]:
+        assert e.cut(b) == [b]
+
+
 def test_bpe_null_ids(spark):
     df = spark.createDataFrame([(None,), ([],), ([None, 64],)], "ids array<int>")
     assert [r["decoded"] and bytes(r["decoded"]) for r in bpe.decode(df, PATH, PATTERN).collect()] == [None, b"", e_bytes(64)]

@@ -5,18 +5,18 @@
    for each bin, reaches first. All documents see the same orders, so that equal bins of two documents agree with their similarity.
 2. Documents of equal sets collapse to one representative before anything is paired.
 3. ``BANDS`` bands of ``ROWS`` bins hash to buckets. In every bucket each member is paired with the bucket's smallest id only
-   (a star), so pairs are linear in bucket sizes. Stars are confirmed on full shingle sets.
+   (a star), so pairs are linear in bucket sizes. The shingle sets of documents that share a bucket are written once; stars are confirmed on them.
 4. Buckets that still hold several components are cut into blocks, and pairs of blocks (tiles) look, in memory, at every pair across
-   components: large tiles first drop pairs whose signatures agree on fewer bins than five deviations below the similarity, all compare full sets. Only links
-   that join components leave a tile. No pair is a row, and none inside a component is needed. In tiles of up to ``SMALL`` rows no candidate
-   link between components is lost; in larger ones that holds with high probability only, as the test of signatures is statistical
-   and counts bins as independent, which densified ones aren't (the review's simulation at 0.75: none lost of 20,000 pairs of each size). A pair at similarity 0.75 shares no bucket with probability (1 - 0.75^4)^40 < 3e-7.
+   components. An upper bound of the overlap, exact for every pair, comes first: a shared shingle lies in a slot of the hash range that both occupy, so that one matrix product of
+   slot counts and occupied slots bounds all overlaps of a tile. Pairs whose bound can reach the similarity are compared on full sets, unless their components have been joined
+   meanwhile. Only links that join components leave a tile. No pair is a row, none inside a component is needed, and no candidate link between
+   components is lost. A pair at similarity 0.75 shares no bucket with probability (1 - 0.75^4)^40 < 3e-7.
 
-Confirming streams sorted rows: partitions hold (centre, salt) runs, the centre's text first, so that one shingle set is held at a time.
+Confirming streams sorted rows: partitions hold (centre, salt) runs, the centre's set first, so that one shingle set is held at a time.
 
 Cases: without words or text a document has an empty set and links with nothing; with one to four words its whole sequence is the one
 shingle; equal texts link; every row gets a result row and takes the component of its own set (rows that share a doc_id but not a text are
-confirmed on the smallest of their texts); rows whose doc_id is null link with nothing, have a null component and are kept. Extra columns are ignored by ``components_of`` and pass through ``deduplicate``.
+confirmed on the smallest of their texts, but counted and put in buckets on their own); rows whose doc_id is null link with nothing, have a null component and are kept. Extra columns are ignored by ``components_of`` and pass through ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ from corpuslake.llm.common import WordIds, as_bytes, mix, need, window_ids, word
 from corpuslake.llm.components import components
 from corpuslake.session import free_shuffles, keep
 
-#: Words in a shingle; similarity as a fraction; bands and bins in a band; members for each copy of a centre;
-#: members in a block of a bucket; rows up to which a tile compares all its pairs on full sets at once.
-WIDTH, NUMERATOR, DENOMINATOR, BANDS, ROWS, SALT_ROWS, BLOCK, SMALL = 5, 75, 100, 40, 4, 50, 1_024, 48
+#: Words in a shingle; similarity as a fraction; bands and bins in a band; members for each copy of a centre.
+WIDTH, NUMERATOR, DENOMINATOR, BANDS, ROWS, SALT_ROWS = 5, 75, 100, 40, 4, 50
+#: Members and shingles in a block of a bucket, about; slots of the hash range that bound an overlap.
+BLOCK, BLOCK_SHINGLES, SLOTS = 512, 1 << 20, 4_096
 BINS = BANDS * ROWS
 _known = WordIds()
 
@@ -113,35 +114,62 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return DENOMINATOR * shared >= NUMERATOR * (len(both) - shared)
 
 
+def as_set(data: bytes | None) -> np.ndarray:
+    return np.frombuffer(data or b"", np.uint64)
+
+
+def sets_of(texts: DataFrame) -> DataFrame:
+    """``id, set``: the sorted shingle fingerprints of each text, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in as_bytes(b.column(1))], pa.binary())], names=["id", "set"])
+
+    return texts.select("id", "text").mapInArrow(run, "id bigint, set binary")
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (centre, salt, role); role 0 brings the centre's text, role 1 a member's."""
+    """Rows sorted by (centre, salt, role); role 0 brings the centre's set, role 1 a member's."""
     centre, held = None, np.empty(0, np.uint64)
     for b in batches:
         a_out, b_out = [], []
-        for c, salt, role, m, t in zip(*[b.column(k).to_pylist() for k in ("c", "salt", "role", "m")], as_bytes(b.column("text"))):
+        for c, salt, role, m, found in zip(*[b.column(k).to_pylist() for k in ("c", "salt", "role", "m", "set")]):
             if role == 0:
-                centre, held = (c, salt), shingles(t)
-            elif centre == (c, salt) and similar(held, shingles(t)):
+                centre, held = (c, salt), as_set(found)
+            elif centre == (c, salt) and similar(held, as_set(found)):
                 a_out.append(c)
                 b_out.append(m)
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``c, m, n`` (n: about how many members c has) whose full sets are similar, as ``a, b``; texts: one row for each id."""
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``c, m, n`` (n: about how many members c has) whose full sets are similar, as ``a, b``; sets: one row for each id."""
     # The salt spreads a centre's members over runs of about SALT_ROWS; each run gets its own copy of the centre.
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("m"), F.greatest(F.lit(1), F.ceil(F.col("n") / SALT_ROWS)).cast("long")))
     pairs = keep(pairs.select("c", "salt", "m"), "pairs")
-    centres = pairs.select("c", "salt").distinct().join(texts, F.col("c") == F.col("id")).select("c", "salt", F.lit(0).alias("role"), F.lit(None).cast("long").alias("m"), "text")
-    members = pairs.join(texts, F.col("m") == F.col("id")).select("c", "salt", F.lit(1).alias("role"), "m", "text")
+    centres = pairs.select("c", "salt").distinct().join(sets, F.col("c") == F.col("id")).select("c", "salt", F.lit(0).alias("role"), F.lit(None).cast("long").alias("m"), "set")
+    members = pairs.join(sets, F.col("m") == F.col("id")).select("c", "salt", F.lit(1).alias("role"), "m", "set")
     rows = centres.union(members).repartition("c", "salt").sortWithinPartitions("c", "salt", "role")
     return rows.mapInArrow(_confirm, "a bigint, b bigint")
 
 
-def _tile(bucket: int, rows: list[tuple[int, int, int, bytes]], same: bool) -> list[tuple[int, int]]:
-    """Links between components among the rows (side, id, label, text) of one tile: enough to join all that any of its links join."""
-    ids, labels, sets = [r[1] for r in rows], [r[2] for r in rows], [shingles(r[3]) for r in rows]
-    root = {x: x for x in labels}
+def overlap_bounds(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """For every pair of sets a number that their overlap can't exceed: of each set the shingles in slots that the other occupies."""
+
+    def counted(sets: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(sets), SLOTS), np.float32)
+        for row, x in zip(out, sets):
+            row += np.bincount((x % np.uint64(SLOTS)).astype(np.intp), minlength=SLOTS)
+        return out
+
+    a, b = counted(left), counted(right)
+    return np.minimum(a @ (b > 0).astype(np.float32).T, (a > 0).astype(np.float32) @ b.T)
+
+
+def _tile(rows: list[tuple[int, int, int, bytes]], same: bool) -> list[tuple[int, int]]:
+    """Links between components among the rows (side, id, label, set) of one tile: enough to join all that any of its links join."""
+    ids, labels, sets = [r[1] for r in rows], np.array([r[2] for r in rows]), [as_set(r[3]) for r in rows]
+    root = {x: x for x in labels.tolist()}
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -151,31 +179,19 @@ def _tile(bucket: int, rows: list[tuple[int, int, int, bytes]], same: bool) -> l
 
     left = [i for i, r in enumerate(rows) if r[0] == 0]
     right = left if same else [i for i, r in enumerate(rows) if r[0] == 1]
-    sizes = np.array([len(x) for x in sets])
-    wide = len(rows) > SMALL
-    if wide:
-        sigs = np.stack([signature(x) for x in sets])
-        keys = np.stack([buckets_of(x) for x in sigs])
-        band = int(np.nonzero(keys[0] == bucket)[0][0])
-        low = sigs.astype(np.uint32)
-    at, out = np.array(right, np.intp), []
-    for i in left:
-        n = np.minimum(sizes[at], sizes[i])
-        fits = (DENOMINATOR * n >= NUMERATOR * np.maximum(sizes[at], sizes[i])) & (at > i if same else True)
-        if wide:
-            # A pair belongs to the first band it shares; its agreement lies within five deviations of its similarity.
-            fits &= (keys[at] == keys[i]).argmax(axis=1) == band
-            j = at[fits]
-            agreed = (low[j] == low[i]).mean(axis=1)
-            least = NUMERATOR / DENOMINATOR - 5 * np.sqrt(0.1875 / np.minimum(BINS, n[fits]))
-            j = j[agreed >= least]
-        else:
-            j = at[fits]
-        for k in j.tolist():
-            a, b = find(labels[i]), find(labels[k])
-            if a != b and similar(sets[i], sets[k]):
-                root[max(a, b)] = min(a, b)
-                out.append((ids[i], ids[k]))
+    if not left or not right:
+        return []
+    sizes, out = np.array([len(x) for x in sets], np.int64), []
+    most = np.minimum(overlap_bounds([sets[i] for i in left], [sets[i] for i in right]), np.minimum.outer(sizes[left], sizes[right]))
+    # overlap / union >= 75 / 100, where the union is what both have but the overlap once.
+    able = (DENOMINATOR + NUMERATOR) * most >= NUMERATOR * np.add.outer(sizes[left], sizes[right])
+    able &= labels[left][:, None] != labels[right][None, :]
+    for i, k in zip(*np.nonzero(np.triu(able, 1) if same else able)):
+        i, k = left[i], right[k]
+        a, b = find(int(labels[i])), find(int(labels[k]))
+        if a != b and similar(sets[i], sets[k]):
+            root[max(a, b)] = min(a, b)
+            out.append((ids[i], ids[k]))
     return out
 
 
@@ -184,27 +200,27 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, rows = None, []
 
     def done() -> pa.RecordBatch:
-        links = _tile(now[0], rows, now[1] == now[2]) if now is not None else []
+        links = _tile(rows, now[1] == now[2]) if now is not None else []
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
     for b in batches:
-        for bucket, i, j, side, id_, label, text in zip(*[b.column(c).to_pylist() for c in ("bucket", "i", "j", "side", "id", "label")], as_bytes(b.column("text"))):
+        for bucket, i, j, side, id_, label, found in zip(*[b.column(c).to_pylist() for c in ("bucket", "i", "j", "side", "id", "label", "set")]):
             if (bucket, i, j) != now:
                 yield done()
                 now, rows = (bucket, i, j), []
-            rows.append((side, id_, label, text))
+            rows.append((side, id_, label, found))
     yield done()
 
 
-def _across(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def _across(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between components in the same bucket, ``a, b``; rows: bucket, blocks, id, label.
 
-    A bucket's members are dealt by hash to blocks of about ``BLOCK``, and a tile is a pair of blocks. Pairs are looked at inside a tile, in
+    A bucket's members are dealt by hash to blocks of about ``BLOCK`` and of bounded sets, and a tile is a pair of blocks. Pairs are looked at inside a tile, in
     memory, and only links that join something leave it: rows stay linear in the members of a bucket.
     """
     mine = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = mine.select("bucket", F.least("mine", "theirs").alias("i"), F.greatest("mine", "theirs").alias("j"), F.when(F.col("mine") <= F.col("theirs"), 0).otherwise(1).alias("side"), "id", "label")
-    full = tiles.join(texts, "id").select("bucket", "i", "j", "side", "id", "label", "text")
+    full = tiles.join(sets, "id").select("bucket", "i", "j", "side", "id", "label", "set")
     return full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_tiles, "a bigint, b bigint")
 
 
@@ -215,22 +231,23 @@ def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     # Equal sets: one representative stands for all of them.
     classes = keep(signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     of_rep = signed.where("digest IS NOT NULL").join(classes, (F.col("doc_id") == F.col("rep")) & signed.digest.eqNullSafe(classes.digest), "left_semi")
-    rows = of_rep.select(F.col("doc_id").alias("id"), F.explode("buckets").alias("bucket"))
+    rows = of_rep.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), F.explode("buckets").alias("bucket"))
     centres = keep(rows.groupBy("bucket").agg(F.min("id").alias("c"), F.count("*").alias("n"), F.max("id").alias("top")).where("c < top").select("bucket", "c", "n"), "centres")
-    members = keep(rows.join(centres, "bucket").select("bucket", "id", "c", "n"), "members")
+    members = keep(rows.join(centres, "bucket").select("bucket", "id", "size", "c", "n"), "members")
     free_shuffles(spark)
     stars = members.where("id <> c").groupBy("c", F.col("id").alias("m")).agg(F.max("n").alias("n"))
     wanted = members.select("id").distinct()
     first = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    texts = keep(first.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
-    linked = keep(confirm(stars, texts), "linked")
+    sets = keep(sets_of(first.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))), "sets")
+    linked = keep(confirm(stars, sets), "linked")
     free_shuffles(spark)
     found = keep(components(linked), "components")
     # What stars left apart: buckets that still hold several components.
-    labelled = keep(members.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("label")), "labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    labelled = keep(members.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("label")), "labelled")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), blocks)
     mixed = keep(mixed.where("least < most").select("bucket", "blocks"), "mixed")
-    more = keep(_across(labelled.join(mixed, "bucket"), texts), "linked")
+    more = keep(_across(labelled.join(mixed, "bucket"), sets), "linked")
     if more.head(1):
         found = keep(components(linked.union(more)), "components")
     free_shuffles(spark)

@@ -168,20 +168,28 @@ def test_minhash_equals_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_minhash_tiles_find_what_stars_miss():
-    texts = [t.encode() for t in near_texts() if t and t.strip()]
-    rows = [(0, i, i, t) for i, t in enumerate(texts)]
-    sets = [minhash.shingles(t) for t in texts]
-    want = brute_components(len(rows), lambda a, b: minhash.similar(sets[a], sets[b]))
-    assert len(rows) > minhash.SMALL
-    bucket = int(minhash.buckets_of(minhash.signature(sets[0]))[0])
-    links = minhash._tile(bucket, rows[: minhash.SMALL], True)
-    part = brute_components(minhash.SMALL, lambda a, b: minhash.similar(sets[a], sets[b]))
-    root = list(range(minhash.SMALL))
-    for a, b in links:
+@pytest.mark.parametrize("cut", [None, 40])
+def test_minhash_tiles_join_all_that_links_join(cut):
+    sets = [minhash.shingles(t.encode()) for t in near_texts() if t and t.strip()]
+    n = len(sets)
+    rows = [(0 if cut is None or i < cut else 1, i, i, x.tobytes()) for i, x in enumerate(sets)]
+    across = lambda a, b: (cut is None or (a < cut) != (b < cut)) and minhash.similar(sets[a], sets[b])
+    root = list(range(n))
+    for a, b in minhash._tile(rows, cut is None):
         lo, hi = sorted((root[a], root[b]))
         root = [lo if x == hi else x for x in root]
-    assert root == part and len(want) == len(rows)
+    assert root == brute_components(n, across) and len(set(root)) < n
+    joined = [(side, i, 0, x) for side, i, _, x in rows]
+    assert minhash._tile(joined, cut is None) == []
+
+
+def test_overlap_bounds_hold():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 2**63, 9_000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in (1, 2, 40, 300, 3_000, 8_000)] + [np.empty(0, np.uint64)]
+    bounds = minhash.overlap_bounds(sets, sets)
+    assert all(bounds[i, j] >= len(np.intersect1d(x, y)) for i, x in enumerate(sets) for j, y in enumerate(sets))
+    assert bounds[3, 3] == len(sets[3]) and bounds[2, 3] < 10
 
 
 def test_minhash_edges(spark):

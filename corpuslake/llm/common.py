@@ -90,20 +90,24 @@ def window_ids(ids: np.ndarray, width: int) -> np.ndarray:
     return mix(out ^ np.uint64(width))
 
 
-_BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+#: Odd bases of two fingerprints that know nothing of each other.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def rolling_ids(ids: np.ndarray, width: int) -> np.ndarray:
-    """As ``window_ids``, in time that doesn't depend on the width: differences of a prefix sum, scaled back by inverse powers."""
+def rolling_ids(ids: np.ndarray, width: int, which: int = 0) -> np.ndarray:
+    """As ``window_ids``, in time that doesn't depend on the width: differences of a prefix sum, scaled back by inverse powers. which: one of two fingerprints."""
     n = len(ids) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    if len(_powers[0]) <= len(ids):
+    if which not in _powers or len(_powers[which][0]) <= len(ids):
         size = max(32_768, 2 * len(ids))
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+        made = []
+        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * _powers[0][: len(ids)], dtype=np.uint64)])
-    return mix(((total[width:] - total[:-width]) * _powers[1][:n]) ^ np.uint64(width))
+            made.append(np.cumprod(steps))
+        _powers[which] = made[0], made[1]
+    up, down = _powers[which]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * up[: len(ids)], dtype=np.uint64)])
+    return mix(((total[width:] - total[:-width]) * down[:n]) ^ np.uint64(width + (which << 32)))

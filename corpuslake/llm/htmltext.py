@@ -2,10 +2,11 @@
 
 The tree builder implies missing tags. Rendering walks the tree once, with a stack and not recursion: blocks start on a new line, those with a margin
 after a blank line; lists are marked and indented; a table cell keeps its lines (blocks, lists, preformatted text, tables), each padded to aligned
-columns, whatever it spans; white space collapses but in preformatted text. Not visible are head, scripts, styles, templates, embedded documents, elements with ``hidden``, ``display:none`` or
-``visibility:hidden``, closed dialogs, hidden inputs, annotations in math, and titles, descriptions and definitions in svg; everything else is emitted, wherever it stands on the page.
+columns, whatever it spans; white space collapses but in preformatted text. Not visible are head, scripts, styles, templates, embedded documents and media, elements with ``hidden`` or ``display:none``,
+text under ``visibility:hidden`` (but for descendants that are ``visibility:visible`` again), closed dialogs, closed details but for their summary, hidden inputs, annotations in math, and titles,
+descriptions and definitions in svg; everything else is emitted, wherever it stands on the page, and so is what an object holds in place of what it would load.
 
-Cases: a null page renders as null, an empty one as the empty text; broken markup is read as far as it goes (an open tag, comment or quote
+Cases: a null page renders as null, an empty one as the empty text, an empty table as an empty one; repeated rows are each rendered; broken markup is read as far as it goes (an open tag, comment or quote
 ends with the page); tables nested deeper than ``TABLE_DEPTH`` are rendered as blocks; parts of a fraction, cells of a
 math table and texts of an svg are parted by a space, and what an svg repeats by ``use`` is not repeated; extra columns pass through, but for one named like the output.
 """
@@ -22,7 +23,7 @@ from corpuslake.functions.htmltree import Node, build
 from corpuslake.llm.common import map_added, need
 
 # Classes of elements by their usual display.
-INVISIBLE = frozenset("head title script style template noscript iframe object embed audio video canvas datalist noframes noembed param source track".split())
+INVISIBLE = frozenset("head title script style template noscript iframe embed audio video canvas datalist noframes noembed param source track".split())
 #: Parts of math and svg that aren't rendered where they stand.
 UNSEEN = {"math": frozenset("annotation annotation-xml".split()), "svg": frozenset("title desc metadata defs symbol clippath mask pattern marker".split())}
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl menu dir table figure fieldset hr details xmp".split())
@@ -30,7 +31,8 @@ BLOCK = SPACED | frozenset(
     "address article aside body center dd dialog div dt figcaption footer form header hgroup html legend li main nav optgroup option search section summary tr caption thead tbody tfoot td th".split()
 )
 TABLE_DEPTH = 6
-_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_HIDDEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -39,10 +41,19 @@ def hidden(x: Node) -> bool:
         return True
     if x.foreign and x.tag in UNSEEN[x.foreign]:
         return True
+    if x.parent is not None and x.parent.tag == "details" and "open" not in x.parent.attrs and x.tag != "summary":
+        return True
     style = x.attrs.get("style")
     return bool(style and _HIDDEN.search(style))
 
 
+def shown(x: Node, above: bool) -> bool:
+    """Whether text of an element is visible, given whether its parent's is."""
+    style = x.attrs.get("style")
+    said = _VISIBILITY.findall(style) if style else None
+    return said[-1].lower() == "visible" if said else above
+
+
 def parted(x: Node) -> bool:
     """Whether an element of math or svg stands apart from what is beside it."""
     return bool(x.foreign) and (x.tag in ("mtd", "text") or x.parent is not None and x.parent.tag == "mfrac")
@@ -119,12 +130,14 @@ def _rows(table: Node) -> list[Node]:
     return [*groups["caption"], *groups["thead"], *groups[""], *groups["tfoot"]]
 
 
-def _table(page: Page, table: Node, depth: int) -> None:
+def _table(page: Page, table: Node, depth: int, seen: bool) -> None:
     grid: list[list[tuple[list[str], int]]] = []  # of each cell its lines and how many columns it spans
     taken: dict[int, int] = {}  # columns that cells of earlier rows still take, and for how many rows
     for row in _rows(table):
+        group = row.parent if row.parent is not None and row.parent is not table else None
+        visible = shown(row, shown(group, seen) if group is not None else seen)
         if row.tag == "caption":
-            for line in _render(row, depth + 1):
+            for line in _render(row, depth + 1, visible):
                 page.put(line)
             continue
         cells, column = [], 0
@@ -133,7 +146,7 @@ def _table(page: Page, table: Node, depth: int) -> None:
             if isinstance(c, str):
                 if not c.strip():
                     continue
-                lines, span, down = [_SPACE.sub(" ", c).strip()], 1, 1
+                lines, span, down = [_SPACE.sub(" ", c).strip()] if visible else [], 1, 1
             elif hidden(c):
                 continue
             else:
@@ -141,7 +154,7 @@ def _table(page: Page, table: Node, depth: int) -> None:
                     cell = Node("td", {}, row)
                     cell.children.append(c)
                     c = cell
-                lines = _trimmed(_render(c, depth + 1))
+                lines = _trimmed(_render(c, depth + 1, shown(c, visible)))
                 span, down = max(1, min(1_000, _number(c.attrs.get("colspan"), 1))), max(1, min(65_534, _number(c.attrs.get("rowspan"), 1)))
             while taken.get(column, 0):
                 cells.append(([], 1))
@@ -185,14 +198,16 @@ def _trimmed(lines: list[str]) -> list[str]:
     return [x.rstrip() for x in lines[full[0] : full[-1] + 1]] if full else []
 
 
-def _render(root: Node, depth: int = 0) -> list[str]:
+def _render(root: Node, depth: int = 0, seen: bool = True) -> list[str]:
     page = Page()
     lists: list[int | None] = []  # of each open list the next number, or None for bullets
     pre = 0
-    stack: list = [(root, False)]
+    stack: list = [(root, False, seen)]  # what comes next, whether it is left then, whether its text is visible
     while stack:
-        x, leaving = stack.pop()
+        x, leaving, seen = stack.pop()
         if isinstance(x, str):
+            if not seen:
+                continue
             if pre:
                 first, *rest = x.expandtabs(8).replace("\r\n", "\n").split("\n")
                 if first:
@@ -222,6 +237,8 @@ def _render(root: Node, depth: int = 0) -> list[str]:
             continue
         if x is not root and hidden(x):
             continue
+        if x is not root:
+            seen = shown(x, seen)
         if tag == "br":
             if page.line:
                 page.end(1)
@@ -229,17 +246,17 @@ def _render(root: Node, depth: int = 0) -> list[str]:
                 page.due = max(page.due, 2) if page.lines else 0
             continue
         if tag in ("img", "input", "area"):
-            if tag == "input" and x.attrs.get("type", "").lower() in ("submit", "button", "reset", "") and x.attrs.get("value"):
+            if seen and tag == "input" and x.attrs.get("type", "").lower() in ("submit", "button", "reset", "") and x.attrs.get("value"):
                 page.say(x.attrs["value"])
             continue
         if tag == "table" and depth < TABLE_DEPTH and x is not root:
             page.end(2)
-            _table(page, x, depth)
+            _table(page, x, depth, seen)
             page.due = 2
             continue
         if parted(x) and x is not root:
             page.say(" ")
-            stack.append((x, True))
+            stack.append((x, True, seen))
         elif tag in BLOCK and x is not root:
             page.end(gap)
             if tag in ("ul", "ol", "menu", "dir"):
@@ -258,8 +275,9 @@ def _render(root: Node, depth: int = 0) -> list[str]:
                 if x.children and isinstance(x.children[0], str) and x.children[0].startswith("\n"):
                     x.children[0] = x.children[0][1:]
             if tag != "hr":
-                stack.append((x, True))
-        stack += [(c, False) for c in reversed(x.children)]
+                stack.append((x, True, seen))
+        closed = tag == "details" and "open" not in x.attrs
+        stack += [(c, False, seen) for c in reversed(x.children) if not (closed and isinstance(c, str))]
     page.end(1)
     return page.lines
 

@@ -8,17 +8,19 @@ Decoding also rejects: a text of ``SURE_LETTERS`` letters and more whose two bes
 best loss is ``UNLIKE`` per bit and more (letter junk, a language not learned), and every ``und``. Shorter texts say too little to be rejected,
 and some junk and other languages still pass; with one learned language no code tells texts apart, so that none with a letter is rejected.
 
-Training takes at most ``PER_LANGUAGE`` labelled rows of each language (those of smallest hash), each whole and as some excerpts, so that short
-texts are learned too; prediction reads every whole text. Only text and label train; nothing but text predicts.
+Training takes at most ``PER_LANGUAGE`` different labelled texts of each language (those of smallest hash of the text), each whole and as some excerpts, so that short
+texts are learned too; prediction reads every whole text. Only text and label train, whatever other columns hold; nothing but text predicts. Texts become
+features on the executors; the driver gets at most ``PER_LANGUAGE`` times five sparse rows of a language, each of at most ``FEATURES`` features, however long the texts are.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and not ambiguous; with one learned language every other text gets it;
-without any labelled row every text is ``und``; rows with a null label don't train; ties go to the language first in byte order; extra columns
-pass through, but for those named like an output.
+without any labelled row every text is ``und``; rows with a null label don't train; repeated rows train once and are each predicted; ties go to the language
+first in byte order; an empty table gives an empty result; extra columns pass through, but for those named like an output.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
@@ -33,7 +35,7 @@ from corpuslake.session import keep
 PER_LANGUAGE, FEATURES, BITS, EPOCHS, AMBIGUOUS = 300, 1 << 13, 15, 60, 0.05
 #: Letters from which a text can be rejected; least margin and loss per bit that reject: held-out documents of one language have more of the one and less of the other.
 SURE_LETTERS, APART, UNLIKE = 80, 0.5, 0.35
-#: Chosen ids up to which they are broadcast (under 2 MB).
+#: Chosen hashes up to which they are broadcast (under 2 MB).
 BROADCAST_IDS = 100_000
 UNDETERMINED = "und"
 
@@ -119,45 +121,62 @@ class Model:
         return names, scores, unsure, rejected
 
 
-def fit(rows: list[tuple[str, str, int]]) -> Model:
-    """From (text, language, key) rows: logistic regression for all bits at once, by gradient steps with momentum."""
-    languages = sorted({lang for _, lang, _ in rows}, key=str.encode)
+def features_of(rows: DataFrame) -> DataFrame:
+    """``lang, h, part, at, v``: the sparse features (indices and values, as bytes) of each text ``t`` and its excerpts that have a letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for lang, h, text in zip(*[b.column(c).to_pylist() for c in ("lang", "h", "t")]):
+                for part, x in enumerate(excerpts(text, h)):
+                    if has_letter(x):
+                        at, v = counts_of(x.encode())
+                        out.append((lang, h, part, at.astype(np.uint16).tobytes(), v.tobytes()))
+            columns = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["lang", "h", "part", "at", "v"])
+
+    return rows.select("lang", "h", "t").mapInArrow(run, "lang string, h bigint, part int, at binary, v binary")
+
+
+def fit(rows: list[tuple[str, bytes, bytes]], languages: list[str]) -> Model:
+    """From (language, indices, values) rows: logistic regression for all bits at once, by gradient steps with momentum; a step holds 512 rows as a matrix."""
     code = codewords(len(languages))
-    texts = [(x, languages.index(lang)) for text, lang, key in rows for x in excerpts(text, key) if has_letter(x)]
-    x = np.zeros((len(texts), FEATURES), np.float32)
-    for i, (t, _) in enumerate(texts):
-        at, v = counts_of(t.encode())
-        x[i, at] = v
-    y = code[[k for _, k in texts]].astype(np.float32) if texts else np.zeros((0, code.shape[1]), np.float32)
+    number = {lang: k for k, lang in enumerate(languages)}
+    at, v = [np.frombuffer(r[1], np.uint16) for r in rows], [np.frombuffer(r[2], np.float32) for r in rows]
+    y = code[[number[r[0]] for r in rows]].astype(np.float32) if rows else np.zeros((0, code.shape[1]), np.float32)
     w, b = np.zeros((FEATURES, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     order = np.random.default_rng(3)
-    for epoch in range(EPOCHS if len(texts) else 0):
+    for epoch in range(EPOCHS if rows else 0):
         rate = 4.0 * (1 - epoch / EPOCHS)
-        shuffled = order.permutation(len(texts))
-        for a in range(0, len(texts), 512):
+        shuffled = order.permutation(len(rows))
+        for a in range(0, len(rows), 512):
             part = shuffled[a : a + 512]
-            error = 1 / (1 + np.exp(-(x[part] @ w + b))) - y[part]
-            vw = 0.9 * vw - rate / len(part) * (x[part].T @ error) - rate * 1e-6 * w
+            x = np.zeros((len(part), FEATURES), np.float32)
+            for i, k in enumerate(part.tolist()):
+                x[i, at[k]] = v[k]
+            error = 1 / (1 + np.exp(-(x @ w + b))) - y[part]
+            vw = 0.9 * vw - rate / len(part) * (x.T @ error) - rate * 1e-6 * w
             vb = 0.9 * vb - 0.1 * rate * error.mean(axis=0)
             w += vw
             b += vb
     return Model(languages, code, w, b)
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on at most ``per_language`` rows of each language; their ids are chosen before any text is read."""
-    need(df, text, lang, key)
-    labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    picked = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(key).alias("id"), F.xxhash64(key).alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
-    ids = keep(picked.select(F.col("id").alias("__id")).distinct(), "picked")
-    # At most per_language ids of each language: few enough to send to every task, so that no text moves; beyond the bound Spark chooses.
-    few = ids.count() <= BROADCAST_IDS
-    chosen = labelled.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("__id"), "left_semi")
-    one = chosen.groupBy(F.col(key).alias("k")).agg(F.min(F.struct(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"))).alias("s"))
-    table = one.select("s.t", "s.l", F.xxhash64("k").alias("h")).toArrow().to_pydict()
-    return fit(sorted(zip(table["t"], table["l"], table["h"]), key=lambda r: (r[2], r[1], r[0])))
+def train(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+    """Fit on at most ``per_language`` different texts of each language; their hashes are chosen before any text moves."""
+    need(df, text, lang)
+    labelled = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).where("lang IS NOT NULL AND t IS NOT NULL")
+    order = Window.partitionBy("lang").orderBy("h")
+    picked = labelled.groupBy("lang", "h").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
+    chosen = keep(picked.select("lang", "h"), "picked")
+    languages = sorted((r["lang"] for r in chosen.select("lang").distinct().collect()), key=str.encode)  # a row per language
+    # At most per_language hashes of each language: few enough to send to every task, so that no text moves; beyond the bound Spark chooses.
+    few = chosen.count() <= BROADCAST_IDS
+    own = labelled.join(F.broadcast(chosen) if few else chosen, ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("t").alias("t"))
+    table = features_of(own).toArrow().to_pydict()
+    rows = sorted(zip(table["h"], table["lang"], table["part"], table["at"], table["v"]))
+    return fit([(lang, at, v) for _, lang, _, at, v in rows], languages)
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from corpuslake.llm.common import need
 from corpuslake.session import keep
 
-#: Buckets; tokens in a batch; documents in a chunk.
+#: Buckets; tokens in a batch, in whatever unit the lengths count; documents in a chunk.
 BUCKETS, BUDGET, CHUNK = 8, 16_384, 2_048
 
 

@@ -5,7 +5,10 @@ ones that of fewest pieces). The best score and count of a prefix depend on the
 into a trie (as sorted order, where neighbours share a prefix) and computes each forward score once per shared prefix; the counts at the
 terminals are what documents add up. A public rank file has no probabilities; Zipf's law stands in: p(rank) ~ 1 / (rank + 1).
 
-Cases: null and empty texts have 0 tokens; all 256 bytes must be pieces, so every text has a split; pre-tokens of any length take time in
+Walking the distinct pre-tokens in byte order with a stack of scores is the depth-first walk of their trie: a stack entry is a node, the bytes shared with the word before
+are the path that stays, and the last entry of a word is its terminal, so that no node is ever computed twice and only one path is held.
+
+Cases: null and empty texts have 0 tokens; repeated rows are each counted; an empty table gives an empty result; all 256 bytes must be pieces, so every text has a split; pre-tokens of any length take time in
 proportion to their length; extra columns pass through, but for one named like the output.
 """
 

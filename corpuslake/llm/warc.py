@@ -1,14 +1,16 @@
 """WARC archives: a deterministic sharded writer with revisit records, and a reader.
 
 Writing: payload digests group the records; each group's smallest id answers, the others revisit it. Records are range-sorted by id into shards
-of a fixed width of ids (so names and contents depend on the rows alone, not on the cluster), each shard is one or more files, rolled by
-compressed size. A task writes under a temporary name of its own attempt and reports what it wrote; the reports are the manifest. A second
+of a fixed width of ids (so names and contents depend on the rows alone, not on the cluster); a shard with many more rows than ids (an id that repeats, or null)
+is cut into parts by hash of id and digest, as many as its row count asks for. Each part is one or more files, rolled by
+compressed size, each opened by a ``warcinfo`` record. A task writes under a temporary name of its own attempt and reports what it wrote; the reports are the manifest. A second
 job renames exactly the files of the manifest, and the manifest with its marker is written last. A lost or repeated task leaves only
 temporary files that no manifest names. Headers, record ids and digests are regenerated from the rows, never copied.
 
 Reading takes the files that a committed manifest names, checks block digests, and returns one row per record.
 
-Files are reached through ``pyarrow.fs`` by URI, so that executors write to the same store that Spark reads.
+Files are reached through ``pyarrow.fs`` by URI, so that executors write to the same store that Spark reads (``s3a`` and ``s3n`` are its ``s3``); a scheme that only
+Hadoop knows is an error.
 
 Cases: a null or empty payload is a record of no bytes; payloads under ``MIN_REVISIT`` bytes are always responses; a null id sorts first, never
 answers for others and never revisits; rows repeating an id are records of their own, and all rows of a group that carry the smallest id are
@@ -35,13 +37,14 @@ MIN_REVISIT, SHARD_IDS, ROLL_BYTES, DATE = 100, 1_024, 8 << 20, "2000-01-01T00:0
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "warc-record")
-_REPORT = "shard bigint, part int, temporary string, name string, records bigint, bytes bigint, sha256 string"
+_REPORT = "shard bigint, cut int, part int, temporary string, name string, records bigint, bytes bigint, sha256 string"
 
 
 def _fs(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, mark, rest = uri.partition("://")
+    return fs.FileSystem.from_uri("s3://" + rest if mark and scheme in ("s3a", "s3n") else uri)
 
 
 def record_id(key: str) -> str:
@@ -71,6 +74,13 @@ def record(page_id: int | None, copy: int, url: str | None, payload: bytes, refe
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def info(name: str) -> bytes:
+    """The record that opens a file."""
+    block = b"software: corpuslake\r\nformat: WARC File Format 1.0\r\n"
+    lines = ["WARC/1.0", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(f'info/{name}')}", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def _member(data: bytes) -> bytes:
     """One gzip member without a time, so that equal records have equal bytes."""
     c = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -85,18 +95,18 @@ def _writer(out: str, roll: int):
         done: list[tuple] = []
         shard = previous = None
         part = records = size = copy = 0
-        digest, temporary = hashlib.sha256(), ""
+        digest, temporary, name = hashlib.sha256(), "", ""
 
         def close() -> None:
             nonlocal sink, part
             if sink is not None:
                 sink.close()
                 sink = None
-                done.append((shard, part, temporary, f"shard-{shard + 2**63:020d}-{part:05d}.warc.gz", records, size, digest.hexdigest()))
+                done.append((*shard, part, temporary, name, records, size, digest.hexdigest()))
                 part += 1
 
         for b in batches:
-            for s, page, url, refers, same, payload in zip(*[b.column(c).to_pylist() for c in ("shard", "page_id", "url", "refers_to", "digest", "payload")]):
+            for *s, page, url, refers, same, payload in zip(*[b.column(c).to_pylist() for c in ("shard", "cut", "page_id", "url", "refers_to", "digest", "payload")]):
                 if s != shard:
                     close()
                     shard, part, previous = s, 0, None
@@ -106,16 +116,18 @@ def _writer(out: str, roll: int):
                 if sink is not None and size + len(data) > roll:
                     close()
                 if sink is None:
-                    temporary = f"_temporary/{attempt}/{shard + 2**63:020d}-{part:05d}"
+                    stem = f"{shard[0] + 2**63:020d}-{shard[1]:05d}-{part:05d}"
+                    temporary, name = f"_temporary/{attempt}/{stem}", f"shard-{stem}.warc.gz"
                     fs.create_dir(f"{root}/_temporary/{attempt}", recursive=True)
                     sink, records, size, digest = fs.open_output_stream(f"{root}/{temporary}"), 0, 0, hashlib.sha256()
+                    data = _member(info(name)) + data
                 sink.write(data)
                 digest.update(data)
                 records, size = records + 1, size + len(data)
         close()
-        columns = list(zip(*done)) or [[]] * 7
-        kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "part", "temporary", "name", "records", "bytes", "sha256"])
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+        columns = list(zip(*done)) or [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "cut", "part", "temporary", "name", "records", "bytes", "sha256"])
 
     return run
 
@@ -147,11 +159,15 @@ def write(pages: DataFrame, out: str, page_id: str = "page_id", url: str = "url"
     refers = F.when(F.col("page_id") > F.col("first"), F.col("first"))
     joined = rows.join(first, F.col("large") & (F.col("digest") == F.col("of")), "left")
     shard = F.coalesce(F.floor(F.col("page_id") / shard_ids).cast("long"), F.lit(-(2**62)))
-    dealt = joined.select(shard.alias("shard"), "page_id", "url", refers.alias("refers_to"), "payload", "digest")
-    sorted_rows = dealt.repartitionByRange("shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    # Shards of many more rows than ids: few, if any. All copies of a row's id and payload lie in one part, so that they are counted there.
+    full = keep(rows.groupBy(F.coalesce(F.floor(F.col("page_id") / shard_ids).cast("long"), F.lit(-(2**62))).alias("__shard")).agg(F.count("*").alias("__rows")).where(F.col("__rows") > 4 * shard_ids), "full")
+    cut = F.pmod(F.xxhash64("page_id", "digest"), F.ceil(F.coalesce("__rows", F.lit(1)) / (4 * shard_ids)).cast("long")).cast("int")
+    dealt = joined.withColumn("shard", shard).join(full, F.col("shard") == F.col("__shard"), "left")
+    dealt = dealt.select("shard", cut.alias("cut"), "page_id", "url", refers.alias("refers_to"), "payload", "digest")
+    sorted_rows = dealt.repartitionByRange("shard", "cut").sortWithinPartitions("shard", "cut", "page_id", "digest", "url")
     manifest = keep(sorted_rows.mapInArrow(_writer(out, roll), _REPORT), "manifest")
     named = manifest.repartition(F.col("name")).mapInArrow(_renamer(out), _REPORT)
-    named.select("shard", "part", "name", "records", "bytes", "sha256").write.mode("overwrite").parquet(f"{out}/_manifest")
+    named.select("shard", "cut", "part", "name", "records", "bytes", "sha256").write.mode("overwrite").parquet(f"{out}/_manifest")
     drop_path(pages.sparkSession, f"{out}/_temporary")
     return pages.sparkSession.read.parquet(f"{out}/_manifest")
 
@@ -187,6 +203,8 @@ def _reader(with_payload: bool):
                 out: list[tuple] = []
                 for h, block in parse(b.column("content")[i].as_buffer().to_pybytes()):
                     kind, payload = h["WARC-Type"], block.partition(b"\r\n\r\n")[2]
+                    if kind == "warcinfo":
+                        continue
                     digest, n = h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["X-Payload-Length"])
                     if kind == "response" and (len(payload) != n or hashlib.sha256(payload).hexdigest() != digest):
                         raise ValueError(f"a payload differs from its digest: {h['WARC-Record-ID']}")

@@ -5,6 +5,8 @@ import hashlib
 import itertools
 import os
 import random
+import re
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -346,10 +348,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.write(df.limit(0), empty).count() == 0 and warc.read(spark, empty).count() == 0
 
 
+def test_warc_cuts_shards_of_repeated_and_null_ids(spark, tmp_path):
+    rows = [(None if i % 3 else 7, f"u{i}", f"text {i % 40}") for i in range(300)] + [(i, "u", "x" * 200) for i in range(50)]
+    out = f"file://{tmp_path}/hot"
+    manifest = warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string"), out, shard_ids=8).collect()
+    parts = {}
+    for r in manifest:
+        parts.setdefault(r["shard"], set()).add(r["cut"])
+    assert len(parts[-(2**62)]) > 3 and len(parts[0]) > 1 and parts[5] == {0}
+    got = warc.read(spark, out).collect()
+    assert len(got) == len(rows) and sum(r["page_id"] is None for r in got) == 200
+    first = next(iter(warc.parse(open(f"{tmp_path}/hot/{manifest[0]['name']}", "rb").read())))[0]
+    assert first["WARC-Type"] == "warcinfo" and first["WARC-Filename"] == manifest[0]["name"]
+
+
 def test_uncommitted_files_are_not_read(spark, tmp_path):
     out = f"file://{tmp_path}/w"
     warc.write(spark.createDataFrame([(1, "u", "x")], "page_id bigint, url string, html string"), out)
-    (tmp_path / "w" / "shard-99999999999999999999-00000.warc.gz").write_bytes(b"left by a lost task")
+    (tmp_path / "w" / "shard-99999999999999999999-00000-00000.warc.gz").write_bytes(b"left by a lost task")
     assert warc.read(spark, out).count() == 1
 
 
@@ -368,6 +384,12 @@ def test_trie_counts_equal_viterbi(spark):
     assert got == [sum(viterbi(w.encode(), t.score) if len(w) < 200 else t.known.get(w) or t.count([w])[0] for w in t.find(x or "")) for x in texts]
 
 
+def test_trie_counts_of_repeats_and_nothing(spark):
+    got = tokencounts.count_tokens(docs(spark, ["a few words", "a few words", None]), PATH, PATTERN).orderBy("doc_id").collect()
+    assert got[0]["n_tokens"] == got[1]["n_tokens"] > 0 and got[2]["n_tokens"] == 0
+    assert tokencounts.count_tokens(docs(spark, ["x"]).limit(0), PATH, PATTERN).count() == 0
+
+
 # ------------------------------------------------------------ 8: recompression
 def brute_repeats(texts, window=50):
     words = [(t or "").split() for t in texts]
@@ -447,6 +469,16 @@ def test_language_accuracy_and_inputs(spark):
     assert langid.digest(model) == langid.digest(again)
 
 
+def test_language_learns_from_text_and_label_alone(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").where(~langid.held_out(F.col("doc_id")))
+    other = d.select((F.col("doc_id") * 7 + 1).alias("doc_id"), "text", "lang", F.lit("s").alias("source"))
+    assert langid.digest(langid.train(d)) == langid.digest(langid.train(other.unionByName(other.limit(40))))
+    assert langid.identify(d.limit(0), langid.train(d.limit(0))).count() == 0
+    model = langid.train(d)
+    copies = langid.identify(docs(spark, ["the and of that with", "the and of that with"]), model).collect()
+    assert len(copies) == 2 and copies[0]["score"] == copies[1]["score"]
+
+
 def test_language_without_or_with_one_label(spark):
     df = docs(spark, ["hello there", "x"], lang=None).withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in langid.identify(df, langid.train(df)).collect()} == {"und"}
@@ -517,11 +549,54 @@ def test_rendering_shows_math_and_svg(html, text):
     assert htmltext.render(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<object data=x><p>instead</p></object>", "instead"), ("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b>c</div>", "b"), ("<p style='visibility:hidden;visibility:visible'>v", "v"),
+        ("<details>x<summary>s</summary><p>no</p>y</details>z", "s\n\nz"), ("<details open><summary>s</summary><p>yes</p></details>", "s\n\nyes"),
+        ("<table style='visibility:hidden'><tr><td>a<td style='visibility:visible'>b</table>", "b"), ("<table><tbody style='visibility:hidden'><tr><td>a<td>c</tbody><tr><td>b</table>", "b"),
+    ],
+)
+def test_rendering_follows_visibility(html, text):
+    assert htmltext.render(html).strip() == text
+
+
+class PlainText(HTMLParser):
+    """All text of a page but that of head, scripts and styles, by another parser and without any layout."""
+
+    def __init__(self):
+        super().__init__()
+        self.words, self.off = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.off += tag in ("head", "script", "style")
+
+    def handle_endtag(self, tag):
+        self.off -= tag in ("head", "script", "style") and self.off > 0
+
+    def handle_data(self, data):
+        self.words += [] if self.off else "".join(data.split())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_rendering_keeps_all_text_of_pages(spark):
+    got = registry.op10_render(spark, "/root/testdata/sf0.01").toPandas().set_index("page_id")["text"]
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").toPandas().set_index("page_id")["html"]
+    assert set(got.index) == set(pages.index)
+    for page, source in pages.items():
+        plain = PlainText()
+        plain.feed(source)
+        marks = re.sub(r"(?m)^ *(- |\d+\. )", "", got[page])
+        assert "".join(marks.split()) == "".join(plain.words), page
+
+
 def test_rendering_survives_depth_and_nulls(spark):
     assert htmltext.render("<div>" * 20_000 + "deep").endswith("deep")
     assert "x" in htmltext.render("<table><tr><td>" * 40 + "x")
     df = spark.createDataFrame([(1, None), (2, "")], "page_id bigint, html string").withColumn("text", F.lit(7))
     assert [r["text"] for r in htmltext.extract_text(df).orderBy("page_id").collect()] == [None, ""]
+    assert htmltext.extract_text(df.limit(0)).count() == 0
+    assert [r["text"] for r in htmltext.extract_text(spark.createDataFrame([(1, "<p>a"), (1, "<p>a")], "page_id bigint, html string")).collect()] == ["a", "a"]
 
 
 # ------------------------------------------------------------ queries and pipeline
@@ -555,4 +630,47 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(left) == {2, 5, 6, 7}
     assert left[5]["text"] == texts[5] and shared not in left[6]["text"] and left[6]["n_chars"] == len(left[6]["text"])
     got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
-    assert {r["doc_id"] for r in got} == set(left) and all(r["n_words"] == len(left[r["doc_id"]]["text"].split()) for r in got)
+    assert {r["doc_id"] for r in got} == set(left) and all(r["n_tokens"] == len(bpe.engine(PATH, PATTERN).encode([left[r["doc_id"]]["text"]])[0]) for r in got)
+
+
+CLASHES = ("lang_pred", "score", "ambiguous", "rejected", "n_shingles", "component_id", "kept", "n_words", "n_removed", "kept_text", "id", "key", "positions", "copy_of")
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    long = " ".join(f"word{i % 90}" for i in range(200))
+    rows = [(i, t, "en", "s", 1) for i, t in ((1, long), (2, long), (3, " ".join(f"own{i}" for i in range(150)) + " " + long), (None, "no id " * 9), (4, None), (5, "five"), (5, "five again"))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce("doc_id", F.lit(0))) for c in CLASHES})
+    at = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = spark.createDataFrame(stage(spark, at, "").collect(), df.schema)
+        assert all(r[c] == f"{c}-{r['doc_id'] or 0}" for r in at.collect() for c in CLASHES), name
+        assert stage(spark, df.limit(0), "").columns == df.columns and stage(spark, df.limit(0), "").count() == 0
+    assert sorted(str(r["doc_id"]) for r in at.collect()) == ["1", "3", "5", "5", "None"]
+    packed = corpus_pipeline.packing_plan(spark, at, "")
+    assert packed.count() == 5 and corpus_pipeline.packing_plan(spark, df.limit(0), "").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_pipeline_equals_brute_force(spark):
+    import corpus_pipeline
+
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(d.where(~langid.held_out(F.col("doc_id"))))
+    rows = sorted((r["doc_id"], r["text"]) for r in d.collect())
+    rows = [r for r, gone in zip(rows, model.predict([t for _, t in rows])[3]) if not gone]
+    sets = [minhash.shingles((t or "").encode()) for _, t in rows]
+    classes = brute_components(len(rows), lambda a, b: minhash.similar(sets[a], sets[b]))
+    rows = [r for i, r in enumerate(rows) if classes[i] == i]
+    rows = [(i, t if not gone else left) for (i, t), (_, gone, left) in zip(rows, brute_repeats([t for _, t in rows]))]
+    tokens = {i: len(x) for (i, _), x in zip(rows, bpe.engine(PATH, PATTERN).encode([t for _, t in rows]))}
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert {i: r["n_tokens"] for i, r in got.items()} == tokens
+    lengths, counts = np.unique([max(1, n) for n in tokens.values()], return_counts=True)
+    bounds = packing.optimal_bounds(lengths, counts)
+    assert all(r["bucket_length"] == min(b for b in bounds if b >= r["n_tokens"]) for r in got.values())
+    batches = {}
+    for r in got.values():
+        batches.setdefault((r["bucket"], r["batch_id"]), []).append(r["bucket_length"])
+    assert all(len(x) == 1 or sum(x) <= packing.BUDGET for x in batches.values()) and len({(r["bucket"], r["batch_id"], r["batch_slot"]) for r in got.values()}) == len(got)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.functions.text import bands, hamming, simhash64
+from corpuslake.functions.text import hamming, simhash64
 from corpuslake.functions.urls import sha256_id
 from corpuslake.operators.history import only_top
-from corpuslake.session import keep
+from corpuslake.session import keep, numbered
 
 NEAR_BITS, PAIR_LIMIT = 6, 1_000
 
@@ -50,22 +52,37 @@ def reduce_captures(captures: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     return pages, aliases, manifest
 
 
-def near_duplicates(df: DataFrame, group: str, order: list[str], text: str, max_distance: int = NEAR_BITS, fingerprint: str | None = None) -> DataFrame:
+def block_pairs(fp: Column | str, distance: int = NEAR_BITS, equal: int = 2) -> Column:
+    """``array<long>``: of ``distance + equal`` blocks of a fingerprint every choice of ``equal`` ones, with their bits. Fingerprints that differ in up to ``distance`` bits have
+    at least ``equal`` equal blocks, so they share a key; a larger ``equal`` makes more keys, each of more bits and so of fewer rows."""
+    c = F.col(fp) if isinstance(fp, str) else fp
+    n = distance + equal
+    cuts = [64 * i // n for i in range(n + 1)]
+    block = lambda i: F.shiftrightunsigned(c, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1).cast("long"))
+    return F.array(*[F.xxhash64(F.lit(k), *[block(i) for i in chosen]) for k, chosen in enumerate(combinations(range(n), equal))])
+
+
+def near_duplicates(df: DataFrame, group: str, order: list[str], text: str, max_distance: int = NEAR_BITS, fingerprint: str | None = None, equal: int = 2) -> DataFrame:
     """Rows whose SimHash is near an earlier row of their group, with the *earliest* such row: ``ordinal, near_ordinal, distance`` beside the keys.
 
-    Seven bands at up to six differing bits: two near fingerprints share a band (pigeonhole). Rows of equal fingerprints stand as one
-    in the band join, so its pairs follow the number of different fingerprints in a bucket, not of copies.
+    Ordinals come from ranges of (group, order), so no group is one task. Candidates share ``equal`` of ``max_distance + equal`` blocks (pigeonhole): with two of
+    eight a bucket holds about a 65,536th of a group's different fingerprints for each of its 28 keys. Rows of equal fingerprints stand as one in the join, so its pairs
+    follow the number of different fingerprints in a bucket, not of copies; the keys' exchange is a plain one, which AQE splits where a bucket is large.
     """
-    w = Window.partitionBy(group).orderBy(*order)
-    rows = df.select(group, *[c for c in order if c != group], (F.col(fingerprint) if fingerprint else simhash64(text)).alias("fp")).withColumn("ordinal", F.row_number().over(w))
-    some = rows.where("fp IS NOT NULL")
-    prints = some.groupBy(group, "fp").agg(F.min("ordinal").alias("first"))
-    b = prints.select(F.col(group).alias("g"), "fp", "first", F.explode(bands("fp")).alias("b"))
+    rows = df.select(group, *[c for c in order if c != group], (F.col(fingerprint) if fingerprint else simhash64(text)).alias("fp"))
+    rows = numbered(rows, [group, *[c for c in order if c != group]], "__n", "fingerprints")
+    first = rows.groupBy(group).agg(F.min("__n").alias("__first"))
+    rows = rows.alias("r").join(first.alias("f"), F.col(f"r.{group}").eqNullSafe(F.col(f"f.{group}"))).select("r.*", (F.col("__n") - F.col("__first") + 1).cast("int").alias("ordinal")).drop("__n")
+    some = keep(rows.where("fp IS NOT NULL"), "ordinals")
+    prints = keep(some.groupBy(group, "fp").agg(F.min("ordinal").alias("first")), "prints")
+    b = keep(prints.select(F.col(group).alias("g"), "fp", "first", F.explode(block_pairs("fp", max_distance, equal)).alias("k")), "blocks")
     x, y = b.alias("x"), b.alias("y")
-    near = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.b.no") == F.col("y.b.no")) & (F.col("x.b.val") == F.col("y.b.val")) & (hamming("x.fp", "y.fp") <= max_distance))
-    pairs = near.select(F.col("x.g").alias(group), F.col("x.fp").alias("fp"), F.struct(F.col("y.first").alias("near_ordinal"), hamming("x.fp", "y.fp").alias("distance")).alias("m")).groupBy(group, "fp").agg(F.min("m").alias("m"))
-    out = some.join(pairs, [group, "fp"]).where("m.near_ordinal < ordinal")
-    return out.select(group, *[c for c in order if c != group], "fp", "ordinal", "m.near_ordinal", "m.distance")
+    near = x.join(y, F.col("x.g").eqNullSafe(F.col("y.g")) & (F.col("x.k") == F.col("y.k")) & (F.col("y.first") < F.col("x.first")) & (hamming("x.fp", "y.fp") <= max_distance))
+    found = near.select(F.col("x.g").alias("g"), F.col("x.fp").alias("fp"), F.struct(F.col("y.first").alias("near_ordinal"), hamming("x.fp", "y.fp").alias("distance")).alias("m"))
+    found = found.unionByName(prints.select(F.col(group).alias("g"), "fp", F.struct(F.col("first").alias("near_ordinal"), F.lit(0).alias("distance")).alias("m")))  # a copy is near itself
+    pairs = found.groupBy("g", "fp").agg(F.min("m").alias("m"))
+    out = some.alias("s").join(pairs.alias("p"), F.col(f"s.{group}").eqNullSafe(F.col("p.g")) & (F.col("s.fp") == F.col("p.fp"))).where("p.m.near_ordinal < s.ordinal")
+    return out.select("s.*", "p.m.near_ordinal", "p.m.distance")
 
 
 def near_report(pages: DataFrame, near: DataFrame, aliases: DataFrame, origin: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.text import normalize_text, trim_snippet
+from corpuslake.session import numbered
 
 # BM25 parameters, field boosts and the fusion constant.
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -26,11 +27,12 @@ def tokens(text: Column | str) -> Column:
 
 
 def build_catalog(passages: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Passages in (page_id, passage_id) order with a dense vector_key from 1, normalised text, and sorted alias ids of their page."""
+    """Passages with a dense vector_key from 1 in (page_id, passage_id) order, normalised text, and sorted alias ids of their page."""
     a = aliases.groupBy(F.col("representative_page_id").alias("page_id")).agg(F.array_sort(F.collect_set("alias_page_id")).alias("alias_page_ids"))
-    key = F.row_number().over(Window.orderBy("page_id", "passage_id"))
-    empty = F.array().cast("array<string>")
-    return passages.join(a, "page_id", "left").select("*", key.alias("vector_key"), normalize_text("content").alias("text")).withColumn("alias_page_ids", F.coalesce("alias_page_ids", empty))
+    keys = numbered(passages.select("page_id", "passage_id"), ["page_id", "passage_id"], "vector_key", "catalog")  # no text moves through the sort
+    kind = a.schema["alias_page_ids"].dataType
+    out = passages.join(keys, ["page_id", "passage_id"]).join(a, "page_id", "left")
+    return out.select("*", normalize_text("content").alias("text")).withColumn("alias_page_ids", F.coalesce("alias_page_ids", F.array().cast(kind)))
 
 
 def build_postings(catalog: DataFrame, fields: tuple[str, ...] = ("title", "heading", "body"), queries: DataFrame | None = None, max_terms: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -125,16 +127,57 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, depth: int = 100, source: str | None = None, max_queries: int = 10_000) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, depth: int = 100, source: str | None = None, block: int = 4_096) -> DataFrame:
     """Exact cosine top-k: vectors(passage_id, source_id, vector), queries(query_id, vector) -> ``query_id, passage_id, source_id, score, rank``.
 
-    The query side is broadcast after its size is checked against ``max_queries``; the index side is read once. Ties go to the smaller id.
+    Queries are taken in blocks of about ``block``, each sent to all tasks as a matrix; each batch of vectors is one matrix product with it, and of each query its ``depth`` best of the
+    batch (with all that tie to nine digits) go on. Vectors without length, or of another length than the query, have no score. Ties go to the smaller id.
     """
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"more than {max_queries} queries; search in batches")
-    q = F.broadcast(queries.select("query_id", F.col("vector").alias("__q")))
-    scored = vectors.crossJoin(q).select("query_id", "passage_id", "source_id", cosine("vector", "__q").alias("score")).where("score IS NOT NULL")
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("v")).where("v IS NOT NULL AND size(v) > 0")
+    blocks = max(1, -(-q.count() // block))
+    v = vectors.select("passage_id", "source_id", F.col("vector").cast("array<double>").alias("v")).where("v IS NOT NULL AND size(v) > 0")
+    schema = T.StructType([q.schema["query_id"], v.schema["passage_id"], v.schema["source_id"], T.StructField("score", T.DoubleType())])
+
+    def unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Rows without nulls and with a length, as unit vectors, by number; all of one batch's most frequent width."""
+        wide = np.diff(column.offsets.to_numpy())
+        width = int(np.bincount(wide).argmax())
+        at = np.nonzero(wide == width)[0]
+        m = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), width)
+        length = np.sqrt((m * m).sum(axis=1))
+        good = np.isfinite(length) & (length > 0)
+        return at[good], m[good] / length[good][:, None]
+
+    scored = None
+    for b in range(blocks):
+        part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow().combine_chunks()
+        if not len(part):
+            continue
+        asked, m = unit(part.column("v").combine_chunks().cast(pa.list_(pa.float64())))
+        ids = part.column("query_id").combine_chunks().take(pa.array(asked))
+
+        def run(batches, m=m, ids=ids):
+            for x in batches:
+                rows, own = unit(x.column("v").cast(pa.list_(pa.float64()))) if len(x) else (np.empty(0, int), np.empty((0, 0)))
+                if not len(rows) or own.shape[1] != m.shape[1]:
+                    continue
+                score = m @ own.T
+                if score.shape[1] > depth:
+                    cut = np.partition(score, score.shape[1] - depth, axis=1)[:, score.shape[1] - depth]
+                    i, j = np.nonzero(score >= cut[:, None] - 2e-9)
+                else:
+                    i, j = np.nonzero(np.ones_like(score, bool))
+                at = pa.array(rows[j])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), x.column("passage_id").take(at), x.column("source_id").take(at), pa.array(score[i, j])], names=["query_id", "passage_id", "source_id", "score"])
+
+        found = v.mapInArrow(run, schema)
+        scored = found if scored is None else scored.unionByName(found)
+    if scored is None:
+        scored = vectors.sparkSession.createDataFrame([], schema)
     return _top(scored, depth, source)
 
 

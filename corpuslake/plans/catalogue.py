@@ -9,11 +9,13 @@ from corpuslake.functions import text as tx
 from corpuslake.functions import urls
 from corpuslake.operators import dedup, evaluation, extract, frontier, history, operations, quality, recrawl, reconcile, search
 from corpuslake.plans import derive as d
-from corpuslake.plans.oracles import ORACLES  # noqa: F401
+from corpuslake.plans import storage
+from corpuslake.plans.oracles import ORACLES as _ORACLES
 from corpuslake.streaming import reduce as streaming
 
 AS_OF = "2001-01-01T00:00:00Z"
-QUERIES: dict = {}
+QUERIES: dict = {**storage.QUERIES}
+ORACLES: dict[str, str] = {**_ORACLES, **storage.ORACLES}
 
 
 def query(f):

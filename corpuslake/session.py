@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "corpuslake", master: str | None = None, **conf: str) -> SparkSession:
@@ -74,6 +75,21 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return Kept(df, label).df
 
 
+def numbered(df: DataFrame, order: list[str], name: str, label: str = "numbered") -> DataFrame:
+    """``df`` with a dense number from 1 in a total order, in the column ``name``.
+
+    Rows are sorted by ranges and counted within each; the ranges' offsets, one row each, are added up. No task sees more than its range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    kept = keep(ranges.withColumns({"__range": F.spark_partition_id(), "__within": within}), label)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    counts = kept.groupBy("__range").agg(F.count("*").alias("__count"))
+    offsets = counts.select("__range", F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__before"))
+    return kept.join(F.broadcast(offsets), "__range").withColumn(name, (F.col("__before") + F.col("__within") + 1).cast("long")).drop("__range", "__within", "__before")
+
+
 def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     """``df`` written once, dealt by a hash of ``key`` into as many buckets as there are shuffle partitions: later joins on that key move the other side alone."""
     spark = df.sparkSession

@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import dataclass, field
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslake.session import numbered, scratch_path, shared_dir
 from corpuslake.sources.lake import Files
 
 ENVELOPE = "schema_version string, batch_id string, snapshot_id string, snapshot_manifest_sha256 string, crawl_manifest_sha256 string, record_type string, record_id string, source_id string, record_json string, _corrupt string"
@@ -27,9 +29,26 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``ref, line`` of a text file without blank lines; ref is file:line, counted within each file."""
-    rdd = spark.sparkContext.wholeTextFiles(path).flatMap(lambda kv: ((f"{kv[0].rsplit('/', 1)[-1]}:{i}", x) for i, x in enumerate(kv[1].splitlines(), 1) if x.strip()))
-    return spark.createDataFrame(rdd, "ref string, line string")
+    """``ref, line`` of text files without blank lines; ref is file:line, counted within each file. Files are read whole, one row each."""
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("at", "line"))
+    return files.where(F.trim("line") != "").select(F.concat_ws(":", "file", (F.col("at") + 1).cast("string")).alias("ref"), "line")
+
+
+def stream_lines(spark: SparkSession, stream) -> DataFrame:
+    """As ``text_lines`` for an open stream on the driver, as standard input: its lines go to the shared folder in bounded parts, never all to memory."""
+    path, files, number, part = scratch_path(spark, "stdin"), Files(spark, shared_dir(spark)), 0, 0
+    while lines := list(islice(stream, 100_000)):
+        rows = [json.dumps({"ref": f"stdin:{number + i}", "line": x.rstrip("\r\n")}) for i, x in enumerate(lines, 1) if x.strip()]
+        files.write(f"{path}/part-{part:05d}.json", "".join(r + "\n" for r in rows).encode())
+        number, part = number + len(lines), part + 1
+    return spark.read.schema("ref string, line string").json(path) if part else spark.createDataFrame([], "ref string, line string")
+
+
+def event_records(lines: DataFrame) -> DataFrame:
+    """Event lines with their reference, typed; a reference without a line number is an error."""
+    bad = ~F.coalesce(F.col("ref").rlike(r".:\d+$"), F.lit(False))
+    ref = F.when(bad, F.raise_error(F.concat(F.lit("no file:line reference: "), F.coalesce("ref", F.lit("null"))))).otherwise(F.col("ref"))
+    return shape_event(lines.select(ref.alias("ref"), F.col("line").alias("record_json")))
 
 
 def validate_batch(spark: SparkSession, folder: str) -> tuple[dict, DataFrame]:
@@ -192,16 +211,50 @@ def load_snapshot(tables: dict, shaped: dict[str, DataFrame], metadata: dict) ->
 
 
 def write_digested(df: DataFrame, folder: str, order: list[str], max_part_rows: int = 100_000) -> str:
-    """JSON lines in a total order, and one digest over them: rows are range-sorted, parts hash their own lines, and the digest is that of the part digests in order.
+    """JSON lines in a total order, and one digest over them: rows are numbered by ranges, parts of ``max_part_rows`` hash their own lines, and the digest is that of the part digests in order.
 
-    A digest of digests needs no single writer; it depends on the rows and ``max_part_rows`` alone.
+    A digest of digests needs no single writer; it depends on the rows, the order and ``max_part_rows`` alone. Files hold the rows in order, by name.
     """
-    total = Window.orderBy(*order)
     lines = df.select(*order, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
-    numbered = lines.withColumn("part", F.floor((F.row_number().over(total) - 1) / max_part_rows)) if max_part_rows else lines
-    parts = numbered.groupBy("part").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "value"))), lambda x: x["value"]), "\n"), 256).alias("sha")).orderBy("part")
+    n = numbered(lines, order, "__n", "digested").withColumn("part", F.floor((F.col("__n") - 1) / max_part_rows))
+    parts = n.groupBy("part").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", "value"))), lambda x: x["value"]), "\n"), 256).alias("sha")).orderBy("part")
     digest = hashlib.sha256()
     for r in parts.toLocalIterator():
         digest.update(r["sha"].encode())
-    lines.orderBy(*order).select("value").write.text(folder)
+    n.repartitionByRange("__n").sortWithinPartitions("__n").select("value").write.text(folder)
     return digest.hexdigest()
+
+
+def snapshot_identity(config_digest: str, pages: DataFrame, passages: DataFrame) -> str:
+    """``snapshot-`` and the SHA-256 of the configuration's digest, NUL, the pages' JSON as an array, NUL, and the passages' (aliases don't count).
+
+    pages: source_id, url, payload_json; passages: the same and ordinal. Both are hashed in byte order of these. The digest is sequential by its definition, so rows stream to the
+    driver from sorted ranges, a partition at a time, and none is kept.
+    """
+    digest = hashlib.sha256(config_digest.encode() + b"\0")
+    for k, (df, order) in enumerate(((pages, ["source_id", "url"]), (passages, ["source_id", "url", "ordinal"]))):
+        digest.update(b"\0[" if k else b"[")
+        for i, r in enumerate(df.orderBy(*order).select("payload_json").toLocalIterator(prefetchPartitions=True)):
+            digest.update(("," if i else "").encode() + r["payload_json"].encode())
+        digest.update(b"]")
+    return f"snapshot-{digest.hexdigest()}"
+
+
+def export_snapshot(spark: SparkSession, folder: str, manifest: dict, pages: DataFrame, passages: DataFrame, aliases: DataFrame, sources: DataFrame, near: DataFrame | None = None) -> dict:
+    """Publish a sealed snapshot's tables as one batch (see ``publish_batch``), each row in its envelope; ``near``, a report by origin, goes to a sidecar beside the records' folder."""
+    envelope = lambda df, kind, key: df.select(
+        F.lit("1").alias("schema_version"), F.lit(manifest["batch_id"]).alias("batch_id"), F.lit(manifest.get("snapshot_id")).alias("snapshot_id"), F.lit(manifest.get("snapshot_manifest_sha256")).alias("snapshot_manifest_sha256"),
+        F.lit(manifest.get("crawl_manifest_sha256")).alias("crawl_manifest_sha256"), F.lit(kind).alias("record_type"), F.col(key).cast("string").alias("record_id"), F.col("source_id").cast("string").alias("source_id"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("record_json"),
+    )
+    rows = envelope(sources, "source", "source_id")
+    for df, kind, key in ((pages, "page", "page_id"), (passages, "passage", "passage_id"), (aliases, "page_alias", "alias_page_id")):
+        rows = rows.unionByName(envelope(df, kind, key))
+    if near is not None:
+        near.write.mode("overwrite").json(f"{folder}-near-duplicates")
+    return publish_batch(spark, folder, rows, manifest)
+
+
+def near_sidecar(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate report beside an exported snapshot; empty where there is none."""
+    schema, path = "snapshot_id string, origin string, page_count bigint, near_duplicate_page_count bigint", f"{folder}-near-duplicates"
+    return spark.read.schema(schema).json(path) if Files(spark, folder).names(path) else spark.createDataFrame([], schema)

@@ -120,16 +120,30 @@ class Table:
 
     # -------------------------------------------------------- writes
     def merge_insert(self, df: DataFrame, metadata: dict | None = None) -> tuple[int | None, int]:
-        """Insert rows whose key is new, one for each key; without any there is no commit: ``(version or None, rows inserted)``."""
+        """Insert rows whose key is new, one for each key; without any there is no commit: ``(version or None, rows inserted)``.
+
+        Of rows that share a key the least in column order is inserted, so that a repeated task or load inserts the same.
+        """
         from corpuslake.session import Kept
 
-        one = df.dropDuplicates(self.keys)
+        others = [c for c in df.columns if c not in self.keys]
+        one = df.groupBy(*self.keys).agg(F.min(F.struct(*others)).alias("__o")).select(*self.keys, "__o.*") if others else df.select(self.keys).distinct()
         fresh = Kept(one.join(self.read().select(self.keys), self.keys, "left_anti").select(df.columns), f"merge-{self.name}")
         n = fresh.df.count()
         version = self._commit(fresh.df, [], metadata or {}, n) if n else None
         fresh.drop()
         return version, n
 
+    def append(self, df: DataFrame, metadata: dict | None = None) -> int | None:
+        """Add rows whose keys the caller knows to be new; the version, or None without rows."""
+        from corpuslake.session import Kept
+
+        rows = Kept(df.select([f.name for f in self.schema.fields]), f"append-{self.name}")
+        n = rows.df.count()
+        version = self._commit(rows.df, [], metadata or {}, n) if n else None
+        rows.drop()
+        return version
+
     def merge_append_only(self, df: DataFrame, immutable: list[str], metadata: dict | None = None) -> tuple[int | None, int]:
         """As above, but a known key with another value in an immutable column is an error."""
         known = self.read().select(*self.keys, *[F.col(c).alias(f"__{c}") for c in immutable])
@@ -159,6 +173,11 @@ class Table:
     def overwrite(self, df: DataFrame, metadata: dict | None = None) -> int:
         return self._commit(df, self.live(), metadata or {}, -1)
 
+    def compact(self, folders: int = 8, metadata: dict | None = None) -> int | None:
+        """One data folder in place of more than so many, with the same rows; the version, or None where there are no more."""
+        live = self.live()
+        return self._commit(self.read(), live, {**(metadata or {}), "input_kind": "compaction"}, 0) if len(live) > folders else None
+
     def vacuum(self, keep_versions: int = 2) -> list[str]:
         """Delete data folders that no kept version reads; returns them."""
         last = self.version()
@@ -176,6 +195,18 @@ def latest_status(log: DataFrame, keys: list[str], order: list[Column]) -> DataF
 
 
 # ------------------------------------------------------------ sealed folders and pointers
+def batch_status(log: DataFrame, started: DataFrame, finished: DataFrame) -> DataFrame:
+    """A control table after attempts: of each batch ``status, attempts, retries`` (rows of ``log`` are earlier states). started, finished: batch_id; a batch that is complete stays so, however
+    often it is started again; a start without a finish leaves it processing."""
+    was = latest_status(log, ["batch_id"], [F.col("attempts")]).select("batch_id", F.col("status").alias("was"), F.col("attempts").alias("had"))
+    n = started.groupBy("batch_id").agg(F.count("*").alias("n"))
+    done = finished.select("batch_id").distinct().withColumn("done", F.lit(True))
+    j = was.join(n, "batch_id", "full").join(done, "batch_id", "left")
+    attempts = (F.coalesce("had", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long")
+    status = F.when((F.col("was") == "complete") | F.col("done"), "complete").otherwise("processing")
+    return j.select("batch_id", status.alias("status"), attempts.alias("attempts"), F.greatest(F.lit(0), attempts - 1).cast("long").alias("retries"))
+
+
 def publish_folder(spark: SparkSession, staged: str, final: str) -> None:
     """Make a staged folder visible in one rename; an existing one is refused."""
     Files(spark, final).move(staged, final)

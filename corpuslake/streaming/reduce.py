@@ -7,7 +7,9 @@ watermark on identity: late duplicates are ignored, late conflicts are quarantin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -16,42 +18,83 @@ from corpuslake.sources.batches import shape_event
 from corpuslake.sources.lake import Table
 
 EVENTS = "crawl_run_id string, event_id string, event_type string, source_id string, event_at string, payload_sha256 string, record_json string"
-HELD = "crawl_run_id string, event_id string, payload_sha256 string, problem string, disposition string, record_json string"
+EFFECTS = f"effect_key string, {EVENTS}, problem string, disposition string"
+
+
+class Reduced:
+    """One table of effects: accepted events and held lines of a micro-batch are one commit, so that no reader sees one without the other."""
 
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.table = Table(spark, root, "crawl_event_effects", EFFECTS, ["effect_key"])
 
-def event_tables(spark: SparkSession, root: str) -> tuple[Table, Table]:
-    return Table(spark, root, "silver_crawl_events", EVENTS, ["crawl_run_id", "event_id"]), Table(spark, root, "quarantine", HELD, ["record_json"])
+    def events(self) -> DataFrame:
+        return self.table.read().where("disposition = 'accepted'").drop("effect_key", "problem", "disposition")
 
+    def held(self) -> DataFrame:
+        return self.table.read().where("disposition <> 'accepted'").drop("effect_key")
 
-def reduce_batch(batch: DataFrame, events: Table, held: Table, metadata: dict) -> dict[str, int]:
-    """Effects of one micro-batch; running it again changes nothing."""
+    def version(self) -> int:
+        return self.table.version()
+
+
+def reduce_batch(batch: DataFrame, into: Reduced, metadata: dict, run: str | None = None) -> dict[str, int]:
+    """Effects of one micro-batch, committed at once; running it again changes nothing. With ``run``, events of other runs are skipped."""
     typed = shape_event(batch.select("record_json")).withColumn("line", F.sha2("record_json", 256))
-    split = split_events(typed, events.read().select("crawl_run_id", "event_id", "payload_sha256"))
-    split = split.persist()
-    try:
-        _, n = events.merge_insert(split.where("disposition = 'accepted'").select([f.name for f in events.schema.fields]), metadata)
-        bad = split.where("disposition IN ('quarantined', 'identity_conflict')")
-        _, q = held.merge_insert(bad.select([f.name for f in held.schema.fields]), metadata)
-    finally:
-        split.unpersist()
-    return {"accepted": n, "held": q}
-
-
-def run_reduce(spark: SparkSession, source: str, root: str, follow: bool = False, max_files: int = 100) -> Table:
-    """Reduce what is there and stop, or follow. The checkpoint keeps which files are done; effects are keyed by identity, not by batch id."""
-    events, held = event_tables(spark, root)
-    stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", max_files).format("text").load(source).withColumnRenamed("value", "record_json")
+    typed = typed.where(F.coalesce(F.col("crawl_run_id") == run, F.lit(True))) if run is not None else typed
+    split = split_events(typed, into.events().select("crawl_run_id", "event_id", "payload_sha256")).where("disposition <> 'duplicate'")
+    key = F.when(F.col("disposition") == "accepted", F.concat_ws("/", F.lit("e"), "crawl_run_id", "event_id")).otherwise(F.concat_ws("/", F.lit("q"), "line"))
+    _, n = into.table.merge_insert(split.withColumn("effect_key", key).select([f.name for f in into.table.schema.fields]), metadata)
+    return {"effects": n}
+
+
+def run_reduce(
+    spark: SparkSession, source: str, root: str, follow: bool = False, max_files: int = 100, max_bytes: str | None = None, run: str | None = None, until: str | None = "corpus_snapshot_published", seconds: float | None = None, every: str = "1 second"
+) -> Reduced:
+    """Reduce what is there and stop; or follow until the run's terminal event (``until``, of ``run``) has been reduced or so many ``seconds`` are over. A micro-batch takes at most ``max_files`` files or
+    ``max_bytes``. The checkpoint keeps which files are done; effects are keyed by identity, not by batch id, and are flushed before the checkpoint moves on."""
+    into = Reduced(spark, root)
+    limit = {"maxBytesPerTrigger": max_bytes} if max_bytes else {"maxFilesPerTrigger": max_files}
+    stream = spark.readStream.schema("value string").options(**limit).format("text").load(source).withColumnRenamed("value", "record_json")
 
     def each(batch: DataFrame, number: int) -> None:
-        reduce_batch(batch, events, held, {"batch": str(number), "input_kind": "events"})
+        reduce_batch(batch, into, {"batch": str(number), "input_kind": "events"}, run)
+
+    def over() -> bool:
+        return until is not None and bool(into.events().where((F.col("event_type") == until) & (F.lit(run is None) | (F.col("crawl_run_id") == run))).head(1))
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/_checkpoint")
-    running = (writer.trigger(processingTime="1 second") if follow else writer.trigger(availableNow=True)).start()
-    if not follow:
+    running = (writer.trigger(processingTime=every) if follow else writer.trigger(availableNow=True)).start()
+    end = time.monotonic() + seconds if seconds is not None else None
+    if follow:
+        while running.isActive and not over() and (end is None or time.monotonic() < end):
+            running.awaitTermination(1)
+        running.stop()
+    else:
         running.awaitTermination()
-        if running.exception() is not None:
-            raise running.exception()
-    return events
+    if running.exception() is not None:
+        raise running.exception()
+    return into
+
+
+def next_batch(pending: DataFrame, max_records: int = 128, max_bytes: int = 1 << 20, terminal: str = "corpus_snapshot_published") -> DataFrame:
+    """The next micro-batch of each run: its pending events in order (created_at, event_id) up to so many records and bytes, ending with the first terminal event.
+
+    pending: crawl_run_id, event_id, event_type, created_at, size. An event above ``max_bytes`` by itself is marked ``quarantine`` and takes no room.
+    """
+    order = Window.partitionBy("crawl_run_id").orderBy("created_at", "event_id")
+    first = pending.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_records)
+    large = F.col("size") > max_bytes
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    taken = first.withColumn("quarantine", large).withColumn("bytes", F.sum(F.when(large, 0).otherwise(F.col("size"))).over(so_far)).withColumn("ended", F.coalesce(F.max((F.col("event_type") == terminal).cast("int")).over(before), F.lit(0)))
+    return taken.where((F.col("bytes") <= max_bytes) & (F.col("ended") == 0)).drop("n", "bytes", "ended")
+
+
+def seal(spark: SparkSession, reduced: Reduced, results: DataFrame, sealed: Table) -> int:
+    """Seal each run that is complete (see ``completed_runs``), once: a row of ``sealed(crawl_run_id, event_count)``; the number of new seals."""
+    done = completed_runs(reduced.events(), results)
+    counts = reduced.events().groupBy("crawl_run_id").agg(F.count("*").alias("event_count"))
+    return sealed.merge_insert(done.join(counts, "crawl_run_id").select("crawl_run_id", "event_count"), {"input_kind": "seal"})[1]
 
 
 def completed_runs(events: DataFrame, results: DataFrame) -> DataFrame:

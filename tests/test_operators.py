@@ -251,13 +251,14 @@ def test_histogram_quantile(spark):
 def test_throttle_golden(spark):
     extra, seen = 0, []
     for _ in range(8):
-        extra = frontier.next_backoff(extra, True)
+        extra = frontier.next_backoff(extra, frontier.THROTTLED)
         seen.append(extra)
     assert seen == [1000, 2000, 4000, 8000, 16000, 32000, 60000, 60000]
-    answers = [429, 429, 200, 200, 503, 200]
+    answers = [429, 429, 200, 500, None, 200, 503, 502, 404]
     extra = 0
     for a in answers:
-        extra = frontier.next_backoff(extra, a in (429, 503))
+        extra = frontier.next_backoff(extra, frontier.signal(a))
+    assert extra == frontier.next_backoff(min(60_000, 2 * (2_000 - 250 - 218)), frontier.HEALTHY)
     df = spark.createDataFrame([("o", i, a) for i, a in enumerate(answers)], "k string, i int, s int")
     assert frontier.throttle(df, ["k"], "i", "s").first()["backoff_ms"] == extra
 
@@ -347,14 +348,13 @@ def test_stream_restart_and_replay_change_nothing(spark, tmp_path):
     src.mkdir()
     (src / "a.txt").write_text("\n".join([event(1), event(2), event(2), "junk"]) + "\n")
     t = streaming.run_reduce(spark, f"file://{src}", root)
-    assert t.read().count() == 2
+    assert t.events().count() == 2
     (src / "b.txt").write_text("\n".join([event(2), event(3), event(1, result_sha256="other")]) + "\n")
     t = streaming.run_reduce(spark, f"file://{src}", root)
-    assert {r["event_id"] for r in t.read().collect()} == {"e1", "e2", "e3"}
-    held = streaming.event_tables(spark, root)[1]
-    assert sorted(r["disposition"] for r in held.read().collect()) == ["identity_conflict", "quarantined"]
+    assert {r["event_id"] for r in t.events().collect()} == {"e1", "e2", "e3"}
+    assert sorted(r["disposition"] for r in t.held().collect()) == ["identity_conflict", "quarantined"]
     before = t.version()
-    streaming.reduce_batch(spark.createDataFrame([(event(1),)], "record_json string"), t, held, {})
+    streaming.reduce_batch(spark.createDataFrame([(event(1),)], "record_json string"), t, {})
     assert t.version() == before
 
 

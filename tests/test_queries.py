@@ -7,8 +7,7 @@ import os
 import duckdb
 import pytest
 
-from corpuslake.plans.catalogue import QUERIES
-from corpuslake.plans.oracles import ORACLES
+from corpuslake.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -94,14 +94,14 @@ def fair_order(tasks: DataFrame, key: str, cursor: str, within: list[str]) -> Da
 
 
 def select_permits(requests: DataFrame, spacing: DataFrame, limits: DataFrame, now: int, global_limit: int, default_limit: int, cursor: str) -> DataFrame:
-    """Pending requests that may start, in fair order: unexpired, room in all and in their origin, no open spacing on origin or key."""
+    """Pending requests that may start, in fair order (``turn`` from 1): unexpired, room in all and in their origin, no open spacing on origin or key."""
     active = requests.where("status = 'active'").groupBy("origin").agg(F.count("*").alias("n"))
     total = active.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     held = spacing.where(F.col("until") > now).select("key")
     p = requests.where((F.col("status") == "pending") & (F.col("expires_at") > now)).join(active, "origin", "left").join(limits, "origin", "left").crossJoin(F.broadcast(total))
     p = p.where((F.col("total") < global_limit) & (F.coalesce("n", F.lit(0)) < F.coalesce("max_active", F.lit(default_limit))))
     p = p.join(held.withColumnRenamed("key", "origin"), "origin", "left_anti").join(held.withColumnRenamed("key", "schedule_key"), "schedule_key", "left_anti")
-    return p.orderBy(F.when(F.col("schedule_key") > cursor, 0).otherwise(1), "schedule_key", "queued_at", "request_id")
+    return numbered(p.withColumn("__past", F.when(F.col("schedule_key") > cursor, 0).otherwise(1)), ["__past", "schedule_key", "queued_at", "request_id"], "turn", "permits").drop("__past")
 
 
 def group_spacing(members: DataFrame) -> DataFrame:

@@ -122,14 +122,6 @@ def rejected_tasks(log: DataFrame, judged: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def expected_against_captured(expected: DataFrame, captured: DataFrame, key: str) -> DataFrame:
-    """The core of the ladder on plain counts: expected(key, expected_count), captured(key, item): each item counts once."""
-    n = captured.groupBy(key).agg(F.countDistinct("item").alias("captured_count"), F.count("*").alias("delivered_count"))
-    out = expected.join(n, key, "full").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("captured_count", "delivered_count")})
-    e, c = F.col("expected_count"), F.col("captured_count")
-    return out.withColumn("authority_status", F.when(e.isNull(), "awaiting_validated_snapshot_batch").when(c == 0, "awaiting_publication_event").when(c < e, "awaiting_capture_events").when(c > e, "capture_event_count_mismatch").otherwise("authoritative"))
-
-
 # ------------------------------------------------------------ replay equality and fingerprints
 def multiset_difference(left: DataFrame, right: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
     """Rows whose number differs between two tables: ``row_json, left_count, right_count``. One aggregate over the counted union; null equals null."""

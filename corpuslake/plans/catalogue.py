@@ -256,13 +256,6 @@ def live_dashboard(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ reconciliation, recrawl, replay
-@query
-def reconcile_authority(spark: SparkSession, sf: str) -> DataFrame:
-    o = d.table(spark, sf, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 7 + 1).alias("expected_count"))
-    li = d.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("item"))
-    return reconcile.expected_against_captured(o, li, "k")
-
-
 def _recrawl_inputs(spark: SparkSession, sf: str) -> DataFrame:
     s = d.sources(spark, sf).where("stop_reason = 'frontier_exhausted' AND failed_count = 0 AND scope = 'scope-0'")
     w = Window.partitionBy("source_id").orderBy(F.desc("observed_at"))
@@ -471,7 +464,8 @@ def scaling_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def histogram_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.cumulative_buckets(d.table(spark, sf, "events"), ["event_type"], "value", [5.0, 10.0, 20.0, 50.0, 100.0]).where("le < double('infinity')")
+    e = d.table(spark, sf, "events").withColumn("part", (F.col("event_id") % 700).cast("string"))  # more series than have a name of their own
+    return evaluation.cumulative_buckets(e, ["part", "event_type"], "value", [5.0, 10.0, 20.0, 50.0, 100.0])
 
 
 @query
@@ -517,23 +511,28 @@ def lineage_history(spark: SparkSession, sf: str) -> DataFrame:
     return log.read().select("table_name", "table_version", "row_count", "load_id", "snapshot_id")
 
 
+def checked(spark: SparkSession, *results) -> DataFrame:
+    """Rules with how many rows fail and the first examples."""
+    return spark.createDataFrame([(r.rule, r.failing, ",".join(r.examples)) for r in results], "rule string, failing bigint, examples string")
+
+
 @query
 def dq_unique(spark: SparkSession, sf: str) -> DataFrame:
     li = d.table(spark, sf, "lineitem").withColumn("k", F.col("l_orderkey") % 1000)
-    return li.groupBy("k", "l_linenumber").agg(F.count("*").alias("copies")).where("copies > 1")
+    return checked(spark, quality.unique(li, ["k", "l_linenumber"], "unique.lines"))
 
 
 @query
 def dq_referential(spark: SparkSession, sf: str) -> DataFrame:
     li, o = d.table(spark, sf, "lineitem"), d.table(spark, sf, "orders").where("o_orderkey % 5 <> 0")
-    return li.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
+    return checked(spark, quality.referential(li, o, {"l_orderkey": "o_orderkey"}, ["l_orderkey", "l_linenumber"], "referential.lines"))
 
 
 @query
 def dq_counts(spark: SparkSession, sf: str) -> DataFrame:
-    o = d.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.lit(4).cast("long").alias("expected"))
-    n = d.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("actual"))
-    return o.join(n, "k", "left").select("k", "expected", F.coalesce("actual", F.lit(0)).cast("long").alias("actual")).where("expected <> actual")
+    o = d.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.lit(4).cast("long").alias("lines"))
+    n = d.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("lines"))
+    return checked(spark, quality.counts_match(o, n, ["k"], ["lines"], "counts.lines"))
 
 
 @query
@@ -569,7 +568,7 @@ def unfinished_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fair_claim_order(spark: SparkSession, sf: str) -> DataFrame:
-    return frontier.fair_order(_tasks(spark, sf).where("status = 'pending' AND retry_at <= 50"), "schedule_key", "k2", ["retry_at", "task_id"]).select("schedule_key", "task_id", "turn").where("turn <= 100")
+    return frontier.fair_order(_tasks(spark, sf).where("status = 'pending' AND retry_at <= 50"), "schedule_key", "k2", ["retry_at", "task_id"]).select("schedule_key", "task_id", "turn")
 
 
 @query
@@ -590,9 +589,16 @@ def source_completion(spark: SparkSession, sf: str) -> DataFrame:
     return frontier.content_groups(groups, quota)
 
 
+def _answers():
+    """Every kind of answer: throttling, healthy, server errors, and a transport failure as null."""
+    kind = F.col("event_type")
+    outcome = F.when(F.col("event_id") % 13 == 0, "transport_error").when(kind == "error", "http_429").when(kind == "signup", "http_503").when(kind == "purchase", "http_500").when(kind == "click", "http_404").otherwise("success")
+    return frontier.outcome_status(outcome)
+
+
 @query
 def throttle_fold(spark: SparkSession, sf: str) -> DataFrame:
-    e = d.table(spark, sf, "events").select("user_id", "event_id", F.when(F.col("event_type") == "error", 429).otherwise(200).alias("status"))
+    e = d.table(spark, sf, "events").select("user_id", "event_id", _answers().alias("status"))
     return frontier.throttle(e, ["user_id"], "event_id", "status")
 
 
@@ -644,16 +650,20 @@ def permit_selection(spark: SparkSession, sf: str) -> DataFrame:
     o = d.table(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"), F.concat(F.lit("o"), (F.col("o_custkey") % 40).cast("string")).alias("origin"), F.concat(F.lit("k"), (F.col("o_custkey") % 40).cast("string")).alias("schedule_key"), F.when(F.col("o_orderkey") % 50 == 1, "active").otherwise("pending").alias("status"), (F.col("o_orderkey") % 97).alias("queued_at"), (F.col("o_orderkey") % 1000).alias("expires_at"))
     spacing = spark.createDataFrame([("o3", 900), ("o5", 100)], "key string, until bigint")
     limits = spark.createDataFrame([("o7", 100_000)], "origin string, max_active bigint")
-    return frontier.select_permits(o, spacing, limits, now=500, global_limit=1_000_000, default_limit=5, cursor="k12").select("request_id", "origin", "queued_at").limit(1)
+    return frontier.select_permits(o, spacing, limits, now=500, global_limit=1_000_000, default_limit=5, cursor="k12").select("request_id", "origin", "queued_at", "turn")
 
 
 @query
 def stream_reduce(spark: SparkSession, sf: str) -> DataFrame:
-    """Durable events through the streaming reducer, available now: equal to the batch split's accepted rows."""
+    """All durable lines through the streaming reducer in several micro-batches, available now, and then once more: what each run accepted and held, and what the replay added."""
     from corpuslake.session import scratch_path
 
     root = scratch_path(spark, "stream")
-    lines = d.durable_events(spark, sf).where("line % 10 <> 2").select("record_json")
+    lines = d.durable_events(spark, sf).select("record_json")
     lines.repartition(4).write.text(f"{root}/in")
-    t = streaming.run_reduce(spark, f"{root}/in", root)
-    return t.read().groupBy("crawl_run_id").agg(F.count("*").alias("event_count"))
+    t = streaming.run_reduce(spark, f"{root}/in", root, max_files=2)
+    before = t.table.read().count()
+    lines.repartition(2).write.mode("append").text(f"{root}/in")
+    added = streaming.run_reduce(spark, f"{root}/in", root).table.read().count() - before
+    of = lambda s: F.count_if(F.col("disposition") == s)
+    return t.table.read().groupBy("crawl_run_id").agg(of("accepted").alias("accepted"), of("identity_conflict").alias("conflicts"), of("quarantined").alias("quarantined")).withColumn("added_by_replay", F.lit(added))

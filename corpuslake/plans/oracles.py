@@ -208,7 +208,7 @@ FROM lp p JOIN ls s ON s.source_id = p.source_id AND s.r = 1 LEFT JOIN pres x ON
     "content_quality": """WITH p AS (SELECT lang AS snapshot_id, source AS source_id, doc_id AS page_id, CASE WHEN doc_id % 9 <> 0 THEN text[1:20] END AS title, text FROM documents), n AS (SELECT doc_id AS page_id, len(list_distinct(str_split(text, chr(10)))) AS n FROM documents WHERE doc_id % 13 <> 0),
 q AS (SELECT snapshot_id, source_id, p.page_id, length(text) AS content_chars, octet_length(encode(text)) AS content_bytes, coalesce(n.n, 0)::BIGINT AS passage_count, trim(coalesce(title, '')) = '' AS missing_title FROM p LEFT JOIN n USING (page_id))
 SELECT *, content_chars < 200 AS short_content, passage_count = 0 AS no_passages, content_chars < 200 OR missing_title OR passage_count = 0 AS needs_review FROM q""",
-    "manifest_page_requests": f"WITH {OBS} SELECT DISTINCT snapshot_id, source_id, page_id::VARCHAR AS page_id, url AS requested_url FROM obs WHERE page_id % 5 = 0",
+    "manifest_page_requests": f"WITH {OBS} SELECT DISTINCT snapshot_id, source_id, page_id::VARCHAR AS page_id, url AS requested_url FROM obs",
     "event_operational_summary": f"WITH {LOG} SELECT * FROM sm",
     "event_error_rate": f"""WITH {LOG} SELECT snapshot_id, source_id, sum(event_count)::BIGINT AS observed_event_count, sum(failure_outcome_count)::BIGINT AS failed_outcome_event_count, coalesce(sum(event_count) FILTER (event_name = 'fetch.failed'), 0)::BIGINT AS fetch_failed_event_count,
 0::BIGINT AS worker_task_failed_event_count, coalesce(sum(event_count) FILTER (event_name = 'page.rejected'), 0)::BIGINT AS page_rejected_event_count, round(100.0::DOUBLE * sum(failure_outcome_count) / sum(event_count), 6) AS failed_outcome_percent FROM sm GROUP BY 1, 2""",
@@ -216,7 +216,7 @@ SELECT *, content_chars < 200 AS short_content, passage_count = 0 AS no_passages
     "event_effectiveness": f"""WITH {LOG}, {RUNS}, e AS (SELECT snapshot_id, sum(event_count) FILTER (event_name = 'task.claimed') AS c, sum(event_count) FILTER (event_name = 'capture.accepted') AS a, sum(event_count) FILTER (event_name = 'page.rejected') AS j, sum(retry_claim_event_count) AS t FROM sm GROUP BY 1)
 SELECT snapshot_id, captured_page_count, c::BIGINT AS task_claim_attempts, a::BIGINT AS capture_accept_event_count, NULL::BIGINT AS worker_task_failure_event_count, j::BIGINT AS page_rejected_event_count, CASE WHEN c > 0 THEN t::BIGINT END AS retry_claim_event_count,
 round(captured_page_count::DOUBLE / c, 6) AS captured_pages_per_task_claim, round(failed_count::DOUBLE / c, 6) AS fetch_failures_per_task_claim, round(60.0::DOUBLE * page_count / crawl_duration_seconds, 6) AS pages_per_minute, 'task claim count' AS attempt_denominator_status FROM rn LEFT JOIN e USING (snapshot_id)""",
-    "ingestion_metrics": f"WITH {RUNS} SELECT 'b-' || strftime(ts, '%Y-%m-%d') AS batch_id, event_id AS attempt_id, user_id, run_id, stop_reason FROM events e LEFT JOIN rn ON rn.batch_id = 'b-' || strftime(ts, '%Y-%m-%d') WHERE event_id % 50 = 0",
+    "ingestion_metrics": f"WITH {RUNS} SELECT 'b-' || strftime(ts, '%Y-%m-%d') AS batch_id, event_id AS attempt_id, user_id, run_id, stop_reason FROM events e LEFT JOIN rn ON rn.batch_id = 'b-' || strftime(ts, '%Y-%m-%d')",
     "event_run_status": f"""WITH {DURABLE}, g AS (SELECT crawl_run_id, count(DISTINCT event_id) FILTER (kind = 'capture_committed') AS cc, count(DISTINCT source_id) FILTER (kind = 'capture_committed') AS scn, min(event_at) AS f, max(event_at) AS l, max(lag_s) AS m, max(sec) AS ls, max(stop_reason) FILTER (kind = 'crawl_completed') AS sr, max(snap) FILTER (kind = 'corpus_snapshot_published') AS ps FROM ev GROUP BY 1),
 q AS (SELECT 'run-' || (user_id % 20)::VARCHAR AS crawl_run_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1)
 SELECT b.crawl_run_id, coalesce(cc, 0) AS capture_count, coalesce(scn, 0) AS source_count, f AS first_event_at, l AS last_event_at, m AS max_ingestion_lag_seconds, sr AS stop_reason, ps AS published_snapshot_id, coalesce(q.n, 0) AS quarantined_record_count,
@@ -232,8 +232,6 @@ SELECT series, n, round(sum(st) OVER w, 6) AS increase, round(sum(st) OVER w / 6
     "alert_hold": """WITH s AS (SELECT user_id % 20 AS series, event_id AS n, event_type <> 'error' AS up FROM events), l AS (SELECT *, max(CASE WHEN NOT up THEN n END) OVER (PARTITION BY series ORDER BY n) AS down FROM s)
 SELECT series, n, up AND (n - (SELECT min(x.n) FROM s x WHERE x.series = l.series AND x.n > coalesce(l.down, -1) AND x.up)) * 30 >= 1800 AS firing FROM l""",
     "live_dashboard": f"WITH {TASKS}, c AS (SELECT count(*) FILTER (status = 'pending') AS pending_count, count(*) FILTER (status = 'leased') AS leased_count, count(*) FILTER (status = 'succeeded') AS succeeded_count, count(*) FILTER (status = 'failed') AS failed_count FROM tk) SELECT task_id, status, c.* FROM (SELECT * FROM tk ORDER BY task_id LIMIT 6 OFFSET 12) CROSS JOIN c",
-    "reconcile_authority": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 7 + 1 AS e FROM orders WHERE o_orderkey % 3 <> 0), c AS (SELECT l_orderkey AS k, count(DISTINCT l_linenumber) AS n, count(*) AS m FROM lineitem GROUP BY 1)
-SELECT coalesce(o.k, c.k) AS k, e AS expected_count, coalesce(n, 0) AS captured_count, coalesce(m, 0) AS delivered_count, CASE WHEN e IS NULL THEN 'awaiting_validated_snapshot_batch' WHEN coalesce(n, 0) = 0 THEN 'awaiting_publication_event' WHEN n < e THEN 'awaiting_capture_events' WHEN n > e THEN 'capture_event_count_mismatch' ELSE 'authoritative' END AS authority_status FROM o FULL JOIN c ON o.k = c.k""",
     "replay_equality": """WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem), b AS (SELECT * FROM a WHERE l_orderkey % 100 <> 0 UNION ALL SELECT * FROM a WHERE l_orderkey % 250 = 1),
 j AS (SELECT l_orderkey, l_linenumber, l_partkey, sum(x) AS x, sum(y) AS y FROM (SELECT *, 1 AS x, 0 AS y FROM a UNION ALL SELECT *, 0, 1 FROM b) GROUP BY 1, 2, 3 HAVING sum(x) <> sum(y)) SELECT count(*) AS differing_rows, sum(x)::BIGINT AS left_rows, sum(y)::BIGINT AS right_rows FROM j""",
     "fingerprint_coverage": """WITH h AS (SELECT user_id % 25 AS g, sha256(event_id::VARCHAR || chr(31) || user_id::VARCHAR || chr(31) || event_type) AS s FROM events), p AS (SELECT g, [('0x' || s[16 * i + 1 : 16 * i + 16])::UBIGINT FOR i IN range(4)] AS u FROM h),
@@ -242,14 +240,21 @@ SELECT g, row_count, """
     + ", ".join(f"(CASE WHEN {c} >= 9223372036854775808::UBIGINT THEN {c}::HUGEINT - 18446744073709551616::HUGEINT ELSE {c}::HUGEINT END)::BIGINT AS fingerprint_{i}" for i, c in enumerate("abcd"))
     + " FROM x",
     "url_winner_select": f"WITH {CAPS} SELECT source_id, final_url, row_id FROM w1 WHERE r1 = 1",
-    "capture_status": f"""WITH {CAPS} SELECT w1.row_id, CASE WHEN r1 > 1 THEN 'superseded-capture' WHEN w1.final_url = rep_url THEN 'admitted' ELSE 'exact-alias' END AS admission_status,
-CASE WHEN r1 > 1 AND w1.content_sha256 = win_sha THEN 'superseded-duplicate-capture' WHEN r1 > 1 THEN 'superseded-conflicting-content' WHEN w1.final_url = rep_url THEN 'deterministic-minimum-selection' ELSE 'exact-content-alias' END AS selection_reason
-FROM w1 LEFT JOIN (SELECT source_id, final_url, rep_url FROM w2) w ON w.source_id = w1.source_id AND w.final_url = w1.final_url""",
+    "capture_status": """
+WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, l_suppkey % 3 AS s, l_partkey AS u, l_quantity::INT::VARCHAR || '/' || (l_partkey % 20)::VARCHAR AS t, CASE WHEN l_linenumber = 1 THEN '?r' ELSE '' END AS r FROM lineitem),
+k AS (SELECT row_id, s, u, t, sha256(sha256(t) || '|https://example.com/p/' || u::VARCHAR || r || '|' || row_id::VARCHAR) AS selection FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY s, u, selection) AS copy FROM k),
+w AS (SELECT s, u, min(selection) AS least_selection, arg_min(t, selection) AS won FROM k GROUP BY 1, 2),
+p AS (SELECT s, won, min(u::VARCHAR) AS rep FROM w GROUP BY 1, 2),
+j AS (SELECT row_id, n.u::VARCHAR AS u, t, w.won, rep, selection = least_selection AND copy = 1 AS winner FROM n JOIN w ON w.s = n.s AND w.u = n.u JOIN p ON p.s = w.s AND p.won = w.won)
+SELECT row_id, CASE WHEN NOT winner THEN 'superseded-capture' WHEN u = rep THEN 'admitted' ELSE 'exact-alias' END AS admission_status,
+  CASE WHEN NOT winner AND t = won THEN 'superseded-duplicate-capture' WHEN NOT winner THEN 'superseded-conflicting-content' WHEN u = rep THEN 'deterministic-minimum-selection' ELSE 'exact-content-alias' END AS selection_reason
+FROM j""",
     "capture_aliases": f"""WITH {CAPS} SELECT source_id, final_url AS alias_url, sha256('page' || chr(0) || final_url) AS alias_page_id, sha256('page' || chr(0) || rep_url) AS representative_page_id, CASE WHEN requested_url <> final_url THEN 'redirect-alias' ELSE 'exact-alias' END AS alias_kind, requested_url FROM w2 WHERE final_url <> rep_url""",
     "simhash_fingerprint": f"WITH {SIM} SELECT doc_id, fingerprint FROM sf",
     "near_duplicates": f"WITH {SIM} SELECT * FROM nd",
     "near_duplicate_report": f"""WITH {SIM} SELECT lang, count(*) AS page_count, (SELECT count(*) FROM nd WHERE nd.lang = d.lang) AS near_duplicate_page_count, count(*) FILTER (doc_id % 10 = 0) AS exact_duplicate_alias_count, round((SELECT count(*) FROM nd WHERE nd.lang = d.lang) / count(*), 6) AS near_duplicate_rate FROM documents d GROUP BY lang""",
-    "shingle_jaccard": r"""WITH w AS (SELECT doc_id, sha256(text) AS sha, list_filter(str_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents WHERE length(text) <= 10000 AND octet_length(encode(text)) <= 40000),
+    "shingle_jaccard": r"""WITH w AS (SELECT doc_id, sha256(text) AS sha, list_filter(str_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, sha, array_to_string(w[i : i + 4], ' ') AS h FROM (SELECT doc_id, sha, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), r AS (SELECT h FROM s GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5),
 p AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS shared FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id AND a.sha <> b.sha WHERE a.h IN (SELECT h FROM r) GROUP BY 1, 2 HAVING count(*) >= 3),
 j AS (SELECT l, r, shared, shared / (x.n + y.n - shared) AS jaccard FROM p JOIN n x ON x.doc_id = l JOIN n y ON y.doc_id = p.r)
@@ -274,37 +279,39 @@ SELECT mode, cell.d AS dimension, cell.v AS value, count(*) AS query_count, roun
 SELECT event_type, n, round(mi, 6) AS min, round(p50, 6) AS p50, round(p95, 6) AS p95, round(p99, 6) AS p99, round(ma, 6) AS max, round((ma - mi) / p50, 6) AS spread, (ma - mi) / p50 > 0.15 AS unstable FROM d""",
     "scaling_table": """WITH m AS (SELECT pow(2, user_id % 4)::BIGINT AS workers, avg(value * pow(1.8::DOUBLE, user_id % 4)) AS t FROM events GROUP BY 1), l AS (SELECT *, first(t) OVER w AS b, first(workers) OVER w AS f, lag(t) OVER w AS pt, lag(workers) OVER w AS pw FROM m WINDOW w AS (ORDER BY workers))
 SELECT workers, round(t, 6) AS throughput, round(t / b, 6) AS speedup, round(t / b * f / workers, 6) AS efficiency, coalesce(pow(t / pt, 1 / log2(workers / pw)) < 1.3, false) AS flattening FROM l""",
-    "histogram_buckets": "SELECT event_type AS series, le::DOUBLE AS le, count(*) FILTER (value <= le) AS cumulative_count FROM events CROSS JOIN (VALUES (5), (10), (20), (50), (100)) b(le) GROUP BY 1, 2",
+    "histogram_buckets": """WITH s AS (SELECT (event_id % 700)::VARCHAR || '/' || event_type AS s, value FROM events), n AS (SELECT DISTINCT s FROM s ORDER BY s LIMIT 512), e AS (SELECT CASE WHEN n.s IS NULL THEN 'overflow' ELSE s.s END AS series, value FROM s LEFT JOIN n ON n.s = s.s)
+SELECT series, le::DOUBLE AS le, count(*) FILTER (value <= le::DOUBLE) AS cumulative_count FROM e CROSS JOIN (VALUES ('5'), ('10'), ('20'), ('50'), ('100'), ('infinity')) b(le) GROUP BY 1, 2""",
     "latency_pairs": "WITH e AS (SELECT user_id, event_type, event_id, lag(event_type) OVER w AS p, lag(event_id) OVER w AS a FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, count(*) AS n, sum(event_id - a)::BIGINT AS total FROM e WHERE event_type = 'click' AND p = 'view' GROUP BY 1",
     "crawl_windows": """WITH o AS (SELECT run, max(f) AS opens FROM (SELECT user_id % 7 AS run, user_id % 3 AS w, min(event_id) AS f FROM events WHERE event_type = 'view' GROUP BY 1, 2) GROUP BY 1), c AS (SELECT user_id % 7 AS run, event_id FROM events WHERE event_type = 'click'), z AS (SELECT run, max(event_id) AS closes FROM c GROUP BY 1)
 SELECT run, opens, closes, count(*) FILTER (event_id >= opens) AS pages_in_window FROM c JOIN o USING (run) JOIN z USING (run) GROUP BY 1, 2, 3""",
     "merge_insert_idempotent": "SELECT n_nationkey AS k, n_name AS name, n_regionkey AS r, 2 AS versions, 0 AS third_load_rows, false AS third_load_committed FROM nation",
     "lineage_history": "SELECT 'regions' AS table_name, (i - 1)::BIGINT AS table_version, count(*) AS row_count, 'load-' || i::VARCHAR AS load_id, 'snap-' || i::VARCHAR AS snapshot_id FROM region JOIN (VALUES (1), (2)) v(i) ON r_regionkey >= 2 * (i - 1) AND r_regionkey < 2 * i GROUP BY i",
-    "dq_unique": "SELECT l_orderkey % 1000 AS k, l_linenumber, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
-    "dq_referential": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey % 5 <> 0)",
-    "dq_counts": "SELECT o_orderkey AS k, 4::BIGINT AS expected, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS actual FROM orders WHERE (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) <> 4",
+    "dq_unique": "WITH f AS (SELECT (l_orderkey % 1000)::VARCHAR || '/' || l_linenumber::VARCHAR AS x FROM lineitem GROUP BY l_orderkey % 1000, l_linenumber HAVING count(*) > 1) SELECT 'unique.lines' AS rule, (SELECT count(*) FROM f) AS failing, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT x FROM f ORDER BY x LIMIT 5)) AS examples",
+    "dq_referential": "WITH f AS (SELECT l_orderkey::VARCHAR || '/' || l_linenumber::VARCHAR AS x FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0)) SELECT 'referential.lines' AS rule, (SELECT count(*) FROM f) AS failing, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT x FROM f ORDER BY x LIMIT 5)) AS examples",
+    "dq_counts": "WITH a AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1), f AS (SELECT o_orderkey::VARCHAR AS x FROM orders LEFT JOIN a ON k = o_orderkey WHERE coalesce(n, 0) <> 4) SELECT 'counts.lines' AS rule, (SELECT count(*) FROM f) AS failing, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT x FROM f ORDER BY x LIMIT 5)) AS examples",
     "dq_rules": """SELECT 'unique.keys' AS rule, (SELECT count(*) FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1)) AS failing UNION ALL SELECT 'not_null.required_columns', count(*) FROM customer WHERE c_name IS NULL OR c_name = '' OR c_mktsegment IS NULL OR c_mktsegment = ''
 UNION ALL SELECT 'unique.customer_status', (SELECT count(*) FROM (SELECT 1 FROM orders GROUP BY o_custkey, o_orderstatus HAVING count(*) > 1)) UNION ALL SELECT 'referential.customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 50 <> 7) UNION ALL SELECT 'schema.types', count(*) FROM customer WHERE c_custkey % 100 = 3""",
     "frontier_status_counts": f"WITH {TASKS} SELECT source_id, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'leased') AS leased, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'leased' AND lease_expires_at <= 500) AS expired FROM tk GROUP BY 1",
     "unfinished_counts": f"WITH {TASKS} SELECT source_id, count(*) AS unfinished FROM tk WHERE status IN ('pending', 'leased') AND source_id NOT IN ('s0', 's3') GROUP BY 1",
-    "fair_claim_order": f"WITH {TASKS}, r AS (SELECT *, row_number() OVER (PARTITION BY schedule_key ORDER BY retry_at, task_id) AS n FROM tk WHERE status = 'pending' AND retry_at <= 50) SELECT schedule_key, task_id, row_number() OVER (ORDER BY n, schedule_key <= 'k2', schedule_key, retry_at, task_id)::INT AS turn FROM r QUALIFY turn <= 100",
+    "fair_claim_order": f"WITH {TASKS}, r AS (SELECT *, row_number() OVER (PARTITION BY schedule_key ORDER BY retry_at, task_id) AS n FROM tk WHERE status = 'pending' AND retry_at <= 50) SELECT schedule_key, task_id, row_number() OVER (ORDER BY n, schedule_key <= 'k2', schedule_key, retry_at, task_id)::INT AS turn FROM r",
     "dead_letters": f"WITH {TASKS} SELECT task_id, source_id, attempts FROM tk WHERE status = 'failed'",
     "enqueue_new": f"WITH {CAPS} SELECT DISTINCT source_id, final_url AS url FROM cp WHERE length(final_url) % 2 <> 0",
     "source_completion": f"WITH {CAPS} SELECT q.s AS source_id, count(DISTINCT content_sha256) AS groups, q.n::BIGINT AS quota, count(DISTINCT content_sha256) >= q.n AS quota_met FROM (VALUES ('s0', 10), ('s1', 10000000), ('s2', 100)) q(s, n) LEFT JOIN cp ON cp.source_id = q.s GROUP BY q.s, q.n",
-    "throttle_fold": """WITH l AS (SELECT user_id, list(CASE WHEN event_type = 'error' THEN 429 ELSE 200 END ORDER BY event_id) AS s FROM events WHERE user_id < 40 GROUP BY 1)
-SELECT user_id, list_reduce(s, lambda a, x: CASE WHEN x = 429 THEN least(60000, CASE WHEN a >= 1000 THEN a * 2 ELSE 1000 END) WHEN a - a // 8 < 100 THEN 0 ELSE a - a // 8 END, 0)::INT AS backoff_ms, len(s) AS answers FROM l""",
+    "throttle_fold": """WITH l AS (SELECT user_id, list(CASE WHEN event_id % 13 = 0 THEN 999 WHEN event_type = 'error' THEN 429 WHEN event_type = 'signup' THEN 503 WHEN event_type = 'purchase' THEN 500 WHEN event_type = 'click' THEN 404 ELSE 200 END ORDER BY event_id) AS s FROM events GROUP BY 1)
+SELECT user_id, list_reduce(s, lambda a, x: CASE WHEN x IN (429, 503) THEN least(60000, CASE WHEN a >= 1000 THEN a * 2 ELSE 1000 END) WHEN x >= 500 THEN a WHEN a - a // 8 < 100 THEN 0 ELSE a - a // 8 END, 0)::INT AS backoff_ms, len(s) AS answers FROM l""",
     "result_acceptance": """WITH a AS (SELECT l_orderkey AS t, l_orderkey * 10 + l_linenumber AS seq, l_linenumber % 2 = 1 AND l_suppkey % 2 = l_orderkey % 2 AS live, l_quantity::INT AS p FROM lineitem), f AS (SELECT t, min(seq) AS seq FROM a WHERE live GROUP BY 1), g AS (SELECT f.t, f.seq, max(a.p) AS p FROM f JOIN a ON a.t = f.t AND a.seq = f.seq GROUP BY 1, 2)
 SELECT a.t AS task_id, a.seq, CASE WHEN NOT live THEN 'stale' WHEN a.seq = g.seq THEN 'accepted' WHEN a.p <> g.p THEN 'error' ELSE 'duplicate' END AS outcome FROM a LEFT JOIN g ON g.t = a.t""",
     "retention_blockers": "SELECT event_id, 'run-' || (user_id % 20)::VARCHAR AS crawl_run_id FROM events WHERE user_id % 20 % 2 = 0 AND event_id % 1000 + 300 <= 1000 AND event_id % 3 <> 0 AND (event_id % 1000 >= 400 OR event_id % 5 <> 0)",
     "recrawl_schedule": """WITH p AS (SELECT c_custkey, c_custkey % 48 + 1 AS h, CASE WHEN c_custkey % 10 <> 0 THEN 946684800 - c_custkey * 600 + (c_custkey % 48 + 1) * 3600 ELSE 946684800 END AS d FROM customer) SELECT c_custkey AS source_id, d AS next_due, c_custkey % 6 <> 0 AND d <= 946684800 AS due FROM p""",
-    "redirect_chains": """WITH RECURSIVE h AS (SELECT c_custkey::VARCHAR AS url, ((c_custkey * 7 + 3) % 200)::VARCHAR AS loc FROM customer WHERE c_custkey < 150),
+    "redirect_chains": """WITH RECURSIVE h AS (SELECT c_custkey::VARCHAR AS url, ((c_custkey * 7 + 3) % 200)::VARCHAR AS loc FROM customer),
 w AS (SELECT url, url AS cur, [url] AS chain, false AS looped FROM h UNION ALL SELECT w.url, h.loc, list_append(w.chain, h.loc), list_contains(w.chain, h.loc) FROM w JOIN h ON h.url = w.cur WHERE NOT looped AND len(chain) <= 10),
 z AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY len(chain) DESC) AS r FROM w)
 SELECT z.url, CASE WHEN NOT looped AND h.url IS NULL THEN cur END AS final_url, len(chain)::INT AS hops, CASE WHEN looped THEN 'redirect_loop' WHEN h.url IS NOT NULL THEN 'redirect_limit_exceeded' ELSE 'ok' END AS outcome FROM z LEFT JOIN h ON h.url = z.cur WHERE r = 1""",
     "link_frontier": """WITH RECURSIVE l AS (SELECT DISTINCT (l_partkey % 500)::VARCHAR AS u, (l_suppkey * 7 % 500)::VARCHAR AS t FROM lineitem), f(url, depth) AS (SELECT '1', 0 UNION SELECT l.t, f.depth + 1 FROM f JOIN l ON l.u = f.url WHERE f.depth < 20) SELECT url, min(depth)::INT AS depth FROM f GROUP BY 1""",
     "permit_selection": """WITH o AS (SELECT o_orderkey AS request_id, 'o' || (o_custkey % 40)::VARCHAR AS origin, 'k' || (o_custkey % 40)::VARCHAR AS k, CASE WHEN o_orderkey % 50 = 1 THEN 'active' ELSE 'pending' END AS status, o_orderkey % 97 AS q, o_orderkey % 1000 AS x FROM orders), a AS (SELECT origin, count(*) AS n FROM o WHERE status = 'active' GROUP BY 1)
-SELECT request_id, o.origin, q AS queued_at FROM o LEFT JOIN a ON a.origin = o.origin WHERE status = 'pending' AND x > 500 AND coalesce(n, 0) < CASE WHEN o.origin = 'o7' THEN 100000 ELSE 5 END AND o.origin <> 'o3' ORDER BY k <= 'k12', k, q, request_id LIMIT 1""",
-    "stream_reduce": "SELECT 'run-' || (user_id % 5)::VARCHAR AS crawl_run_id, count(*) AS event_count FROM events WHERE event_id % 101 <> 0 GROUP BY 1",
+SELECT request_id, o.origin, q AS queued_at, row_number() OVER (ORDER BY k <= 'k12', k, q, request_id) AS turn FROM o LEFT JOIN a ON a.origin = o.origin WHERE status = 'pending' AND x > 500 AND coalesce(n, 0) < CASE WHEN o.origin = 'o7' THEN 100000 ELSE 5 END AND o.origin <> 'o3'""",
+    "stream_reduce": """SELECT 'run-' || (user_id % 5)::VARCHAR AS crawl_run_id, count(*) FILTER (event_id % 101 <> 0) AS accepted, count(*) FILTER (event_id % 101 <> 0 AND event_id % 51 = 0) AS conflicts,
+count(*) FILTER (event_id % 101 = 0) + count(*) FILTER (event_id % 101 = 0 AND event_id % 51 = 0) AS quarantined, 0 AS added_by_replay FROM events GROUP BY 1""",
 }
 
 _RECRAWL = f"""

@@ -36,23 +36,17 @@ def words(t: Column | str) -> Column:
 
 def trim_snippet(t: Column | str, limit: int) -> Column:
     """The shortest prefix of at least ``limit`` bytes (the character that starts before the limit ends it), trailing white space trimmed."""
+    b = _c(t).cast("binary")
+    # A character's later bytes are 10xxxxxx: at most three of them can follow the limit.
+    later = [F.substr(b, F.lit(limit + i), F.lit(1)).between(F.lit(b"\x80"), F.lit(b"\xbf")) for i in (1, 2, 3)]
+    more = F.when(~F.coalesce(later[0], F.lit(False)), 0).when(~F.coalesce(later[1], F.lit(False)), 1).when(~F.coalesce(later[2], F.lit(False)), 2).otherwise(3)
+    return F.regexp_replace(F.substr(b, F.lit(1), F.lit(limit) + more).cast("string"), r"(?U)\s+$", "")
 
-    @F.pandas_udf("string")
-    def cut(s: pd.Series) -> pd.Series:
-        def one(x):
-            if x is None:
-                return None
-            b = x.encode()
-            if len(b) <= limit:
-                return x.rstrip()
-            end = limit
-            while end < len(b) and b[end] & 0xC0 == 0x80:
-                end += 1
-            return b[:end].decode().rstrip()
-
-        return s.map(one)
-
-    return cut(_c(t))
+
+def embedding_input(heading_path: Column | str, text: Column | str) -> Column:
+    """What is embedded for a passage: its headings joined by a space, a new line, and its text; the text alone without headings."""
+    path = F.array_join(_c(heading_path), " ")
+    return F.when(F.coalesce(path, F.lit("")) == "", _c(text)).otherwise(F.concat(path, F.lit("\n"), _c(text)))
 
 
 # ------------------------------------------------------------ SimHash

@@ -171,20 +171,29 @@ def resolve_redirects(starts: DataFrame, hops: DataFrame, limit: int = 10, sourc
         to = keep(to.select("__from", F.col("url").alias("__to"), F.col("owner").alias("__owner"), F.when(F.col("owner").isNull(), "redirect_outside_source_allowlist").when(~F.col("allowed"), "redirect_robots_denied").alias("__bad")), "hops")
     else:
         to = to.withColumns({"__owner": F.lit(None).cast("string"), "__bad": F.lit(None).cast("string")})
-    step = F.col("__from").isNotNull()
     first = starts.select("url").distinct()
     first = owner_of(first, sources).select("url", "owner") if sources is not None else first.withColumn("owner", F.lit(None).cast("string"))
-    walked = first.select("url", "owner", F.col("url").alias("at"), F.array("url").alias("chain"), F.lit(None).cast("string").alias("stopped"))
     seen = F.array_contains("chain", F.col("__to"))
     # A hop out of the allowlist is rejected before a loop is, a loop before robots are asked.
     why = F.when(F.col("__bad") == "redirect_outside_source_allowlist", F.col("__bad")).when(seen, "redirect_loop").otherwise(F.col("__bad"))
-    moves = {"owner": F.col("__owner"), "at": F.col("__to"), "chain": F.array_append("chain", F.col("__to")), "stopped": why}
-    for _ in range(limit):
-        walked = walked.join(to, (F.col("at") == F.col("__from")) & F.col("stopped").isNull(), "left").select("url", *[F.when(step, x).otherwise(F.col(c)).alias(c) for c, x in moves.items()])
-    walked = walked.join(to, F.col("at") == F.col("__from"), "left").select("url", "owner", "at", "chain", "stopped", F.size("chain").alias("n"), step.alias("more"))
-    last = only_top(walked, ["url"], [F.col("n").desc(), F.col("stopped")])
-    outcome = F.coalesce(F.col("stopped"), F.when(F.col("more"), "redirect_limit_exceeded").otherwise("ok"))
-    out = last.select("url", F.when(outcome == "ok", F.col("at")).alias("final_url"), "chain", outcome.alias("outcome"), F.when(outcome == "ok", F.col("owner")).alias("owner"))
+    last = ["url", "at", "owner", "chain", "outcome"]
+    walking = first.select("url", "owner", F.col("url").alias("at"), F.array("url").alias("chain"))
+    done = None
+    for hop in range(limit + 1):
+        # Each hop is written, and only URLs that are still on their way take the next.
+        stepped = keep(walking.join(to, F.col("at") == F.col("__from"), "left"), "hops")
+        rest = stepped.where("__from IS NULL").withColumn("outcome", F.lit("ok"))
+        if hop == limit:
+            rest = rest.unionByName(stepped.where("__from IS NOT NULL").withColumn("outcome", F.lit("redirect_limit_exceeded")))
+        moved = stepped.where("__from IS NOT NULL").select("url", F.col("__owner").alias("owner"), F.col("__to").alias("at"), F.array_append("chain", F.col("__to")).alias("chain"), why.alias("outcome"))
+        done = rest.select(last) if done is None else done.unionByName(rest.select(last))
+        if hop == limit or not moved.head(1):
+            break
+        done = done.unionByName(moved.where("outcome IS NOT NULL").select(last))
+        walking = moved.where("outcome IS NULL").drop("outcome")
+    ok = F.col("outcome") == "ok"
+    out = done.select("url", F.when(ok, F.col("at")).alias("final_url"), "chain", "outcome", F.when(ok, F.col("owner")).alias("owner"))
+    out = only_top(out, ["url"], [F.size("chain").desc(), F.col("outcome")])  # a URL with several locations ends once
     return out if sources is not None else out.drop("owner")
 
 

@@ -179,6 +179,22 @@ def histogram_quantile(buckets: DataFrame, q: float) -> DataFrame:
     return hit.select("series", F.when(F.col("le") == float("inf"), F.col("low")).otherwise(inside).alias("quantile"))
 
 
+def histogram_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What cumulative buckets gained between two samples: ``series, le, cumulative_count``; a fall is a restart, after which all counts."""
+    b = before.select("series", "le", F.col("cumulative_count").alias("__b"))
+    j = after.join(b, ["series", "le"], "left").withColumn("__b", F.coalesce("__b", F.lit(0)))
+    fell = F.max((F.col("cumulative_count") < F.col("__b")).cast("int")).over(Window.partitionBy("series"))
+    return j.withColumn("__fell", fell).select("series", "le", F.when(F.col("__fell") == 1, F.col("cumulative_count")).otherwise(F.col("cumulative_count") - F.col("__b")).alias("cumulative_count"))
+
+
+def average_cores(samples: DataFrame, series: list[str], time: str, seconds: str) -> DataFrame:
+    """Mean cores of each series between its first and last sample of cumulative CPU seconds; resets count from zero; null over no time."""
+    w = Window.partitionBy(*series).orderBy(time)
+    step = F.when(F.lag(seconds).over(w).isNull(), 0.0).when(F.col(seconds) >= F.lag(seconds).over(w), F.col(seconds) - F.lag(seconds).over(w)).otherwise(F.col(seconds))
+    s = samples.withColumn("__step", step)
+    return s.groupBy(*series).agg(F.try_divide(F.sum("__step").cast("double"), (F.max(time) - F.min(time)).cast("double")).alias("average_cores"))
+
+
 def shuffled(items: list, seed: int) -> list:
     """Fisher-Yates with the generator above."""
     out, state = list(items), seed & MASK

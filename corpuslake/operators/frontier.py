@@ -160,7 +160,7 @@ def retry_after_ms(header: Column | str, now: Column | str) -> Column:
     old = F.try_to_timestamp(F.regexp_replace(part(r"^[A-Z][a-z]{2} ([A-Z][a-z]{2} [ \d]\d \d\d:\d\d:\d\d \d{4})$"), " +", " "), F.lit("MMM d HH:mm:ss yyyy"))
     wait = F.unix_millis(F.coalesce(fixed, short, old)) - F.unix_millis(at)
     seconds = F.when(c.rlike(r"^\+?\d{1,15}$"), F.regexp_replace(c, r"^\+", "").cast("long") * 1_000)
-    return F.coalesce(seconds, F.greatest(F.lit(0).cast("long"), wait))
+    return F.coalesce(seconds, F.when(wait < 0, 0).otherwise(wait)).cast("long")
 
 
 def hold_ms(extra: Column | str, asked: Column | str) -> Column:

@@ -151,3 +151,23 @@ def held_for(samples: DataFrame, series: list[str], time: str, condition: Column
     s = samples.withColumn("__on", F.coalesce(condition, F.lit(False))).withColumn("__run", F.sum(F.when(F.col("__on"), 0).otherwise(1)).over(w))
     start = F.min(F.when(F.col("__on"), F.col(time))).over(Window.partitionBy(*series, "__run"))
     return s.withColumn("firing", F.col("__on") & (F.unix_timestamp(F.col(time).cast("timestamp")) - F.unix_timestamp(start.cast("timestamp")) >= seconds)).drop("__on", "__run")
+
+
+def gauge_delta(samples: DataFrame, series: list[str], time: str, value: str, seconds: int) -> DataFrame:
+    """Change of gauges over a trailing range at each sample: ``delta``, the sample minus the first within the range."""
+    s = samples.withColumn("__t", F.unix_timestamp(F.col(time).cast("timestamp")))
+    inside = Window.partitionBy(*series).orderBy("__t").rangeBetween(-seconds, 0)
+    return s.withColumn("delta", F.col(value) - F.first(value).over(inside)).drop("__t")
+
+
+def count_up(samples: DataFrame, job: list[str], instance: str, time: str, up: Column, as_of: str, stale: int = 300) -> DataFrame:
+    """Instances of each job whose last sample, not older than ``stale`` seconds, is up: ``up_count``; jobs without any fresh sample are absent."""
+    now = F.unix_timestamp(F.lit(as_of).cast("timestamp"))
+    fresh = samples.withColumn("__age", now - F.unix_timestamp(F.col(time).cast("timestamp"))).where(f"__age >= 0 AND __age <= {stale}")
+    last = only_top(fresh.withColumn("__up", F.coalesce(up, F.lit(False))), [*job, instance], [F.col("__age")])
+    return last.groupBy(*job).agg(F.count_if("__up").alias("up_count"))
+
+
+def and_on(left: DataFrame, right: DataFrame, labels: list[str]) -> DataFrame:
+    """Rows of the left side for whose labels the right side has any row."""
+    return left.join(right.select(*labels).distinct(), labels, "left_semi")

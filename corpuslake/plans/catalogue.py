@@ -9,13 +9,13 @@ from corpuslake.functions import text as tx
 from corpuslake.functions import urls
 from corpuslake.operators import dedup, evaluation, extract, frontier, history, operations, quality, recrawl, reconcile, search
 from corpuslake.plans import derive as d
-from corpuslake.plans import storage
+from corpuslake.plans import crawling, judging, storage
 from corpuslake.plans.oracles import ORACLES as _ORACLES
 from corpuslake.streaming import reduce as streaming
 
 AS_OF = "2001-01-01T00:00:00Z"
-QUERIES: dict = {**storage.QUERIES}
-ORACLES: dict[str, str] = {**_ORACLES, **storage.ORACLES}
+QUERIES: dict = {**storage.QUERIES, **crawling.QUERIES, **judging.QUERIES}
+ORACLES: dict[str, str] = {**_ORACLES, **storage.ORACLES, **crawling.ORACLES, **judging.ORACLES}
 
 
 def query(f):
@@ -337,12 +337,6 @@ def shingle_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(dedup.shingle_similarity(docs, ["doc_id"], "text", "sha", sample=None, max_chars=None, max_bytes=None))
 
 
-@query
-def passages(spark: SparkSession, sf: str) -> DataFrame:
-    docs = d.texts(spark, sf).select(F.col("doc_id").alias("page_id"), extract.line_blocks("text").alias("blocks"))
-    return extract.passages(docs, max_tokens=384).select("page_id", "ordinal", tx.token_count("content").alias("tokens"), "passage_id")
-
-
 @query
 def html_extract(spark: SparkSession, sf: str) -> DataFrame:
     p = extract.extract_html(d.table(spark, sf, "pages").select("page_id", "url", "html"))
@@ -444,13 +438,6 @@ def eval_slices(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(evaluation.slices(m, q))
 
 
-@query
-def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    m = evaluation.ranking_metrics(*_evaluation(spark, sf), strict=False).groupBy("query_id").pivot("mode", ["length", "modulo"]).agg(F.first("ndcg10")).orderBy(F.col("query_id").cast("int"))
-    mean, low, high = evaluation.paired_bootstrap([r["length"] - r["modulo"] for r in m.collect()])  # a row per evaluation query
-    return spark.createDataFrame([(mean, low, high)], "mean double, low double, high double")
-
-
 @query
 def latency_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(evaluation.distribution(d.table(spark, sf, "events"), "value", ["event_type"]))

@@ -294,12 +294,6 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     return map_added(df, [text], f"`{ids}` array<int>", lambda t: [_ids_array([x for a, z in _pieces(t) for x in engine(path, pattern).encode(t.slice(a, z - a).to_pylist())])])
 
 
-def count(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
-    """Append ``out bigint``: how many ids the whole text has (none for null)."""
-    need(df, text)
-    return map_added(df, [text], f"`{out}` bigint", lambda t: [pa.array([len(x) for a, z in _pieces(t) for x in engine(path, pattern).encode(t.slice(a, z - a).to_pylist())], pa.int64())])
-
-
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Append ``decoded binary``: the bytes of the ids in order."""
     need(df, ids)

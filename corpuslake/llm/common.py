@@ -36,8 +36,8 @@ def schema_with(df: DataFrame, added: str) -> tuple[list[str], T.StructType]:
     return [f.name for f in stay], T.StructType([*stay, *new.fields])
 
 
-def map_added(df: DataFrame, inputs: list[str], added: str, make: Callable[..., list]) -> DataFrame:
-    """Append columns that ``make(*input arrays) -> [arrays]`` computes from each Arrow batch."""
+def map_added(df: DataFrame, inputs: list[str], added: str, make: Callable[..., list], after: Callable[[], None] | None = None) -> DataFrame:
+    """Append columns that ``make(*input arrays) -> [arrays]`` computes from each Arrow batch; ``after`` is called when a task ends, as to forget what it remembered."""
     stay, schema = schema_with(df, added)
     names = [f.name for f in T.StructType.fromDDL(added).fields]
     sent = df.select(*stay, *[F.col(c).alias(f"__in{i}") for i, c in enumerate(inputs)])
@@ -46,6 +46,8 @@ def map_added(df: DataFrame, inputs: list[str], added: str, make: Callable[...,
         for b in batches:
             made = make(*[b.column(f"__in{i}") for i in range(len(inputs))])
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in stay], *made], names=[*stay, *names])
+        if after is not None:
+            after()
 
     return sent.mapInArrow(run, schema)
 
@@ -75,6 +77,10 @@ class WordIds(dict):
         return value
 
 
+#: One memory of words for all operators of a worker, as workers outlive their stages.
+known_words = WordIds()
+
+
 def word_ids(words: list[bytes], known: WordIds) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 

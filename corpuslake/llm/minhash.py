@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import WordIds, as_bytes, mix, need, window_ids, word_ids
+from corpuslake.llm.common import as_bytes, known_words, mix, need, window_ids, word_ids
 from corpuslake.llm.components import components
 from corpuslake.session import free_shuffles, keep
 
@@ -38,7 +38,6 @@ WIDTH, NUMERATOR, DENOMINATOR, BANDS, ROWS, SALT_ROWS = 5, 75, 100, 40, 4, 50
 #: Members and shingles in a block of a bucket, about; slots of the hash range that bound an overlap.
 BLOCK, BLOCK_SHINGLES, SLOTS = 512, 1 << 20, 4_096
 BINS = BANDS * ROWS
-_known = WordIds()
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -46,7 +45,7 @@ def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    ids = word_ids(words, _known)
+    ids = word_ids(words, known_words)
     return np.unique(window_ids(ids, min(width, len(ids))))
 
 

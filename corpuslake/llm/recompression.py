@@ -32,13 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import WordIds, as_bytes, mix, need, rolling_ids, schema_with, word_ids
+from corpuslake.llm.common import as_bytes, known_words, mix, need, rolling_ids, schema_with, word_ids
 from corpuslake.session import bucketed, free_shuffles, keep
 
 WINDOW = 50
 #: (kind, most words in a symbol) of each round.
 ROUNDS = (("run", 2), ("pair", 3), ("pair", 4), ("run", 4), ("pair", 6))
-_known = WordIds()
 
 
 def edge(rounds=ROUNDS) -> int:
@@ -105,7 +104,7 @@ def _shingled(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
     for b in batches:
         docs, keys, more = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
         for d, t in zip(b.column("id").to_pylist(), as_bytes(b.column("text"))):
-            ids = word_ids((t or b"").split(), _known)
+            ids = word_ids((t or b"").split(), known_words)
             at = np.unique(anchors(ids, window)) - EDGE
             found, first = np.unique(rolling_ids(ids, 2 * EDGE)[at], return_index=True) if len(at) else (np.empty(0, np.uint64), at)
             keys.append(found)
@@ -119,7 +118,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
     for b in batches:
         docs, places, symbols, hashes = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         for d, t, keys, names in zip(b.column("id").to_pylist(), as_bytes(b.column("text")), b.column("keys"), b.column("names")):
-            ids = word_ids((t or b"").split(), _known)
+            ids = word_ids((t or b"").split(), known_words)
             at = anchors(ids, window)
             if not len(at):
                 continue

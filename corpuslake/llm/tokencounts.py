@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from corpuslake.llm.common import map_added, need
 
-#: Pre-tokens a worker remembers.
+#: Pre-tokens a task remembers.
 KNOWN_WORDS = 500_000
 
 
@@ -98,4 +98,7 @@ def count_tokens(df: DataFrame, path: str, pattern: str, text: str = "text", out
             counts += t.count(column.slice(a, 1_024).to_pylist())
         return [pa.array(counts, pa.int64())]
 
-    return map_added(df, [text], f"`{out}` bigint", make)
+    def forget() -> None:
+        trie(path, pattern).known.clear()
+
+    return map_added(df, [text], f"`{out}` bigint", make, forget)

@@ -16,7 +16,7 @@ import public_tokenizers  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from corpuslake.llm import bpe, langid, minhash, packing, recompression  # noqa: E402
+from corpuslake.llm import langid, minhash, packing, recompression, tokencounts  # noqa: E402
 from corpuslake.llm.registry import VOCABULARY  # noqa: E402
 from corpuslake.session import keep  # noqa: E402
 
@@ -51,8 +51,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bucket, batch and slot of every document, with its length in tokens of the byte-level BPE."""
-    counted = bpe.count(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    """The bucket, batch and slot of every document, with its length in tokens of the unigram tokenizer."""
+    counted = tokencounts.count_tokens(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return packing.pack(keep(counted.select("doc_id", "n_tokens"), "lengths"), "n_tokens")  # texts are read once
 
 

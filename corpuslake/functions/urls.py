@@ -165,7 +165,9 @@ def resolve_redirects(starts: DataFrame, hops: DataFrame, limit: int = 10, sourc
     to = hops.select(F.col("url").alias("__from"), F.col("location").alias("__to"))
     if sources is not None:
         absolute = F.when(F.col("__to").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("__to")).when(F.col("__to").startswith("/"), F.concat(origin_key("__from"), "__to")).otherwise(F.concat(F.regexp_replace(F.regexp_replace("__from", r"[?#].*$", ""), r"[^/]*$", ""), "__to"))
-        to = to.withColumn("url", canonical_url(absolute)).withColumn("url", F.coalesce("url", "__to"))
+        # Written between, as each of these expressions repeats the one before many times.
+        to = keep(to.withColumn("__whole", absolute), "hops")
+        to = keep(to.select("__from", "__to", F.coalesce(canonical_url("__whole"), "__to").alias("url")), "hops")
         to = owner_of(to, sources)
         to = robots_allows(to, rules, agent) if rules is not None else to.withColumn("allowed", F.lit(True))
         to = keep(to.select("__from", F.col("url").alias("__to"), F.col("owner").alias("__owner"), F.when(F.col("owner").isNull(), "redirect_outside_source_allowlist").when(~F.col("allowed"), "redirect_robots_denied").alias("__bad")), "hops")

@@ -136,6 +136,31 @@ def dashboard(tasks: DataFrame, limit: int, offset: int) -> DataFrame:
     return page.crossJoin(F.broadcast(counts))
 
 
+def run_dashboard(tasks: DataFrame, attempts: DataFrame, permits: DataFrame, as_of: str, windows: tuple[int, ...] = (60, 300), leases: int = 20) -> DataFrame:
+    """One row of each run: ``tasks, outcomes, permits`` (counts by status, as maps), ``rates`` (finished attempts per second in trailing windows, over the run's age where that is less, as a map by seconds), ``leased``
+    (how many) and ``oldest_leases`` (the first ``leases`` of them by deadline: a page of the report, as ordered structs).
+
+    tasks: crawl_run_id, task_id, status, lease_owner, lease_deadline; attempts: crawl_run_id, outcome, finished_at; permits: crawl_run_id, status.
+    """
+    run = "crawl_run_id"
+
+    def counts(df: DataFrame, column: str, out: str) -> DataFrame:
+        n = df.groupBy(run, column).agg(F.count("*").alias("n"))
+        return n.groupBy(run).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias(out))
+
+    age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col("finished_at").cast("timestamp"))
+    a = attempts.withColumn("age", age).where("age >= 0")
+    per = lambda w: F.count_if(F.col("age") < w).cast("double") / F.greatest(F.lit(1), F.least(F.lit(w), F.max("age")))
+    rates = a.groupBy(run).agg(F.map_from_arrays(F.array(*map(F.lit, windows)), F.array(*[per(w) for w in windows])).alias("rates"))
+    held = tasks.where("status = 'leased'")
+    first = held.withColumn("r", F.row_number().over(Window.partitionBy(run).orderBy("lease_deadline", "task_id"))).where(F.col("r") <= leases)
+    listed = first.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("lease_deadline", "task_id", "lease_owner"))).alias("oldest_leases"))
+    out = counts(tasks, "status", "tasks").join(held.groupBy(run).agg(F.count("*").alias("leased")), run, "left").withColumn("leased", F.coalesce("leased", F.lit(0)).cast("long"))
+    for x in (counts(attempts, "outcome", "outcomes"), counts(permits, "status", "permits"), rates, listed):
+        out = out.join(x, run, "left")
+    return out
+
+
 def counter_increase(samples: DataFrame, series: list[str], time: str, value: str, seconds: int) -> DataFrame:
     """Increase of counters over a trailing range at each sample: sums of positive steps, where a fall is a reset to zero."""
     w = Window.partitionBy(*series).orderBy(time)

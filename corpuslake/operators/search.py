@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.text import normalize_text, trim_snippet
@@ -56,6 +56,28 @@ def build_postings(catalog: DataFrame, fields: tuple[str, ...] = ("title", "head
     return postings, terms, stats
 
 
+def write_index(catalog: DataFrame, folder: str, fields: tuple[str, ...] = ("title", "heading", "body"), buckets: int = 256) -> None:
+    """A keyword index to search without reading texts again: postings and term counts partitioned by a bucket of their term's hash, and the fields' statistics."""
+    postings, terms, stats = build_postings(catalog, fields)
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    for df, name in ((postings, "postings"), (terms, "terms")):
+        df.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/{name}")
+    stats.withColumn("buckets", F.lit(buckets)).write.parquet(f"{folder}/stats")
+
+
+def open_index(spark: SparkSession, folder: str, queries: DataFrame, max_terms: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, terms and statistics of an index for one batch of queries: only buckets of its terms are read, and of them only its terms (up to ``max_terms`` by a list that reaches the scan, else by a join)."""
+    stats = spark.read.parquet(f"{folder}/stats")
+    buckets = stats.first()["buckets"]
+    wanted = query_literals(queries).select(F.explode("terms").alias("term")).distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    few = wanted.limit(max_terms + 1).collect()
+    postings, terms = (spark.read.parquet(f"{folder}/{n}") for n in ("postings", "terms"))
+    if len(few) <= max_terms:
+        chosen = F.col("bucket").isin(sorted({r["bucket"] for r in few})) & F.col("term").isin([r["term"] for r in few])
+        return postings.where(chosen).drop("bucket"), terms.where(chosen).drop("bucket"), stats.drop("buckets")
+    return *(x.join(wanted, ["bucket", "term"], "left_semi").drop("bucket") for x in (postings, terms)), stats.drop("buckets")
+
+
 def parse_query(text: str) -> list[list[str]]:
     """A query as literals, each a list of terms: quotes make phrases (an open quote runs to the end); elsewhere a run without white space is one
     literal, a phrase if it holds several terms. There is no other syntax, and text without terms gives nothing."""

@@ -387,6 +387,16 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(search.keyword_topk(*index, q, 10).select("query_id", "rank", "passage_id", "score"))
 
 
+@query
+def bm25_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """All queries, words and phrases, on an index that was written before."""
+    from corpuslake.session import scratch_path
+
+    folder, q = scratch_path(spark, "index"), d.keyword_queries(spark, sf)
+    search.write_index(d.catalog(spark, sf), folder, ("title", "body"), 64)
+    return _rounded(search.keyword_topk(*search.open_index(spark, folder, q), q, 10).select("query_id", "rank", "passage_id", "score"))
+
+
 @query
 def keyword_phrase(spark: SparkSession, sf: str) -> DataFrame:
     q = d.keyword_queries(spark, sf).where("query_id % 2 = 1")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuslake.operators import evaluation, quality, reconcile, recrawl, search
+from corpuslake.operators import evaluation, operations, quality, reconcile, recrawl, search
 from corpuslake.operators.evaluation import paired_bootstrap
 from corpuslake.plans import derive as d
-from corpuslake.plans.oracles import EVAL, EVI
+from corpuslake.plans.oracles import _RECRAWL, EVAL, EVI
 from corpuslake.session import keep, scratch_path
 from corpuslake.sources import batches
 from corpuslake.sources.lake import Files
@@ -248,6 +248,35 @@ def recrawl_provisional(spark: SparkSession, sf: str) -> DataFrame:
     return v.select(F.col("source_id").cast("long").alias("source_id"), "validation_status", "evidence_status", F.coalesce(F.length("recommendation_id"), F.lit(0)).alias("id_length"))
 
 
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_custkey % 12 AS r, CASE WHEN o_orderstatus = 'F' THEN 'succeeded' WHEN o_orderstatus = 'P' THEN 'failed' WHEN o_orderkey % 3 = 0 THEN 'leased' ELSE 'pending' END AS st FROM orders),
+t AS (SELECT r, string_agg(st || '=' || n::VARCHAR, ',' ORDER BY st) AS tasks FROM (SELECT r, st, count(*) AS n FROM o GROUP BY 1, 2) GROUP BY 1),
+e AS (SELECT user_id % 12 AS r, event_type, event_id % 500 AS age FROM events), u AS (SELECT r, string_agg(event_type || '=' || n::VARCHAR, ',' ORDER BY event_type) AS outcomes FROM (SELECT r, event_type, count(*) AS n FROM e GROUP BY 1, 2) GROUP BY 1),
+p AS (SELECT r, string_agg(s || '=' || n::VARCHAR, ',' ORDER BY s) AS permits FROM (SELECT o_custkey % 12 AS r, CASE WHEN o_orderkey % 5 = 0 THEN 'active' ELSE 'completed' END AS s, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1),
+v AS (SELECT r, round(count(*) FILTER (age < 60) / greatest(1, least(60, max(age))), 6) AS rate_60, round(count(*) FILTER (age < 300) / greatest(1, least(300, max(age))), 6) AS rate_300 FROM e GROUP BY 1),
+l AS (SELECT r, string_agg(k::VARCHAR || '@w' || (k % 4)::VARCHAR, ',' ORDER BY k % 700, k) AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY k % 700, k) AS n FROM o WHERE st = 'leased') WHERE n <= 20 GROUP BY 1)
+SELECT 'run-' || t.r::VARCHAR AS crawl_run_id, tasks, outcomes, permits, rate_60, rate_300, (SELECT count(*) FROM o WHERE o.r = t.r AND st = 'leased') AS leased, oldest FROM t LEFT JOIN u ON u.r = t.r LEFT JOIN p ON p.r = t.r LEFT JOIN v ON v.r = t.r LEFT JOIN l ON l.r = t.r""")
+def run_dashboard(spark: SparkSession, sf: str) -> DataFrame:
+    o = d.table(spark, sf, "orders").withColumn("crawl_run_id", F.concat(F.lit("run-"), (F.col("o_custkey") % 12).cast("string")))
+    k = F.col("o_orderkey")
+    tasks = o.select("crawl_run_id", k.alias("task_id"), F.when(F.col("o_orderstatus") == "F", "succeeded").when(F.col("o_orderstatus") == "P", "failed").when(k % 3 == 0, "leased").otherwise("pending").alias("status"), F.concat(F.lit("w"), (k % 4).cast("string")).alias("lease_owner"), (k % 700).alias("lease_deadline"))
+    e = d.table(spark, sf, "events").select(F.concat(F.lit("run-"), (F.col("user_id") % 12).cast("string")).alias("crawl_run_id"), F.col("event_type").alias("outcome"), (F.lit("2024-06-01T00:00:00Z").cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("event_id") % 500).cast("decimal(18,6)"))).alias("finished_at"))
+    out = operations.run_dashboard(tasks, e, o.select("crawl_run_id", F.when(k % 5 == 0, "active").otherwise("completed").alias("status")), "2024-06-01T00:00:00Z")
+    flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",").alias(c)
+    return out.select("crawl_run_id", flat("tasks"), flat("outcomes"), flat("permits"), *[F.round(F.col("rates")[w], 6).alias(f"rate_{w}") for w in (60, 300)], "leased", F.array_join(F.transform("oldest_leases", lambda x: F.concat_ws("@", x["task_id"].cast("string"), x["lease_owner"])), ",").alias("oldest"))
+
+
+@query(_RECRAWL + """, b AS (SELECT source_id, '{"generation_id":"g1","source_id":"' || source_id || '","generated_at":"' || newest[1:10] || 'T12:00:00Z","expires_at":"2030-01-01T00:00:00Z","expected_policy_version":"p1","minimum_interval_hours":"6.000","current_interval_hours":"24.000","maximum_interval_hours":"168.000","proposed_interval_hours":"' ||
+proposed::DECIMAL(18, 3)::VARCHAR || '","adjustment_hours":"' || (proposed - 24)::DECIMAL(18, 3)::VARCHAR || '","adjustment_fraction":"' || ((proposed - 24) / 24)::DECIMAL(18, 6)::VARCHAR || '","max_adjustment_fraction":"0.250000","minimum_completed_snapshots":3,"minimum_comparable_page_observations":' || CASE WHEN source_id < 'D' THEN 1 ELSE 10000000 END::VARCHAR ||
+',"maximum_evidence_age_days":30,"maximum_provisional_event_age_seconds":3600,"evidence_status":"' || CASE WHEN ok THEN 'completed_history' ELSE 'unsupported' END || '","snapshot_ids":["' || array_to_string(list_sort((SELECT ids FROM e WHERE e.source_id = p.source_id)), '","') || '"],"provisional_run_id":null,"provisional_event_ids":[],"comparable":' || comparable::VARCHAR || ',"changed":' || changed::VARCHAR ||
+',"change_fraction":"' || coalesce(cf::DECIMAL(18, 6)::VARCHAR, '') || '"}' AS j FROM p) SELECT source_id, j AS idempotency_basis, 'sha256:' || sha256(j) AS recommendation_id FROM b""")
+def recrawl_basis(spark: SparkSession, sf: str) -> DataFrame:
+    """The canonical JSON of each recommendation and the id that derives from it."""
+    from corpuslake.plans.catalogue import _candidates
+
+    return _candidates(spark, sf).select("source_id", "idempotency_basis", "recommendation_id")
+
+
 # ------------------------------------------------------------ evaluation
 EVAL3 = EVAL.replace("'length' AS mode", "'keyword' AS mode").replace("SELECT 'modulo',", "SELECT 'semantic',").replace("ORDER BY page_id % 31, page_id) FROM ed)", "ORDER BY page_id % 31, page_id) FROM ed UNION ALL SELECT 'hybrid', query_id, page_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, page_id) FROM ed)")
 

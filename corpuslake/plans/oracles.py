@@ -340,3 +340,4 @@ r AS (SELECT task_id, list_reduce(ev, lambda p, c: CASE
     {'s': 'pending', 'e': 0, 'a': 0, 'o': NULL::VARCHAR, 'x': 0, 'ac': '', 'w': ''}) AS z FROM l)
 SELECT task_id, z.s AS status, z.e AS epoch, z.a AS attempts, z.o AS owner, z.x AS stale FROM r""",
 }
+ORACLES["bm25_indexed"] = f"SELECT * FROM ({bm25(0)}) UNION ALL SELECT * FROM ({bm25(1)})"

@@ -219,15 +219,16 @@ def accept_results(attempts: DataFrame, leases: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ retention
-def prunable(events: DataFrame, completed: DataFrame, consumers: DataFrame, receipts: DataFrame, now: int) -> DataFrame:
-    """Events that may go: their run is complete, no active consumer's replay window is open, and every consumer that was required (not retired
-    before the event) has a receipt.
+def prunable(events: DataFrame, completed: DataFrame, consumers: DataFrame, receipts: DataFrame, now: int, broken: DataFrame | None = None) -> DataFrame:
+    """Events that may go: their run is complete and its history fingerprint intact (it is not in ``broken``, see ``reconcile.fingerprint_check``), no active consumer's replay
+    window is open, and every consumer that was required (not retired before the event) has a receipt.
 
     events: event_id, crawl_run_id, created_at; consumers: consumer, replay_window, retired_at; receipts: event_id, consumer.
     """
     c = F.broadcast(consumers.select("consumer", "replay_window", "retired_at"))  # a row per registered consumer
     widest = consumers.where("retired_at IS NULL").agg(F.max("replay_window").alias("w"))
-    done = events.join(completed, "crawl_run_id", "left_semi").crossJoin(F.broadcast(widest)).where(F.col("created_at") + F.coalesce("w", F.lit(0)) <= now).drop("w")
+    whole = completed if broken is None else completed.join(broken.select("crawl_run_id"), "crawl_run_id", "left_anti")
+    done = events.join(whole, "crawl_run_id", "left_semi").crossJoin(F.broadcast(widest)).where(F.col("created_at") + F.coalesce("w", F.lit(0)) <= now).drop("w")
     owed = done.join(c, F.col("retired_at").isNull() | (F.col("retired_at") > F.col("created_at"))).join(receipts, ["event_id", "consumer"], "left_anti")
     return done.join(owed.select("event_id").distinct(), "event_id", "left_anti").select("event_id", "crawl_run_id")
 

@@ -137,6 +137,52 @@ def check_snapshot(shaped: dict[str, DataFrame], envelopes: DataFrame, lake: dic
     return results
 
 
+def check_envelopes(rows: DataFrame, manifest: dict) -> list[CheckResult]:
+    """The rules on a batch's records beside each other and its manifest (run_id, snapshot_id, crawl_manifest_sha256, page_count, alias_count, passage_count, operational_schema)."""
+    j = lambda p: F.get_json_object("record_json", f"$.{p}")
+    kind = F.col("record_type")
+    key = ["record_type", "record_id"]
+    named = {"source": "source_id", "page": "page_id", "passage": "passage_id", "page_alias": "alias_page_id"}
+    wrong_id = F.lit(False)
+    for t, f in named.items():
+        wrong_id = wrong_id | ((kind == t) & ~j(f).eqNullSafe(F.col("record_id")))
+    owned = kind.isin("page", "passage", "page_alias")
+    digest = F.sha2(F.when(kind == "page", j("content_identity")).otherwise(j("content")), 256)
+    each = {
+        "batch.identity": wrong_id, "batch.source": owned & ~j("source_id").eqNullSafe(F.col("source_id")), "batch.content_hash": kind.isin("page", "passage") & ~j("content_sha256").eqNullSafe(digest),
+        "batch.id_form": owned & ~F.col("record_id").rlike("^[0-9a-f]{64}$"), "batch.operational": (kind == "operational") & ~(j("schema_version").eqNullSafe(F.lit(manifest["operational_schema"])) & j("run_id").eqNullSafe(F.lit(manifest["run_id"]))),
+    }
+    out = [result(name, rows.where(bad), key) for name, bad in each.items()] + [unique(rows, key, "batch.unique")]
+    pages = rows.where("record_type = 'page'").select(F.col("record_id").alias("p"), F.col("source_id").alias("s"))
+    children = rows.where(kind.isin("passage", "page_alias")).withColumn("parent", F.when(kind == "passage", j("page_id")).otherwise(j("representative_page_id")))
+    known = rows.where("record_type = 'source'").select(F.col("record_id").alias("s"))
+    out += [
+        referential(rows.where(owned), known, {"source_id": "s"}, key, "batch.known_source"), referential(children, pages, {"parent": "p"}, key, "batch.known_page"),
+        referential(children.join(pages.select(F.col("p").alias("parent")).distinct(), "parent", "left_semi"), pages, {"parent": "p", "source_id": "s"}, key, "batch.same_source"),
+    ]
+    counts = {c: rows.where(kind == t).count() for c, t in (("page_count", "page"), ("alias_count", "page_alias"), ("passage_count", "passage"))}
+
+    def single(record_type: str, rule: str, wanted: list[Column]) -> CheckResult:
+        """One record of its type that is all that's wanted of it."""
+        found = rows.where(kind == record_type)
+        good = F.lit(True)
+        for w in wanted:
+            good = good & F.coalesce(w, F.lit(False))
+        n, ok = found.agg(F.count("*"), F.count_if(good)).first()
+        return CheckResult(rule, 0 if n == ok == 1 else max(1, n - ok), () if n == ok == 1 else (f"{n} records, {ok} as they should be",))
+
+    number = lambda p, n: F.expr(f"try_cast(get_json_object(record_json, '$.{p}') AS BIGINT)") == n
+    same = [F.lit(counts[c] == manifest[c]) for c in counts]
+    listed = rows.where("record_type = 'crawl_manifest'").select(F.explode(F.from_json(j("sources"), "array<struct<source_id:string>>")).alias("x")).select("x.source_id")
+    sources = known.select(F.col("s").alias("source_id")).distinct()
+    apart = listed.distinct().exceptAll(sources).unionAll(sources.exceptAll(listed.distinct()))
+    complete = [j("status") == "complete", j("snapshot_id") == manifest["snapshot_id"]]
+    return [
+        *out, single("snapshot", "batch.snapshot_record", [*complete, F.col("record_id") == manifest["snapshot_id"], *same, *[number(c, counts[c]) for c in counts]]),
+        single("crawl_manifest", "batch.crawl_manifest", [*complete, j("manifest_sha256") == manifest["crawl_manifest_sha256"], j("run_id") == manifest["run_id"], *[number(f"summary.{c}", manifest[c]) for c in counts]]), result("batch.crawl_sources", apart, ["source_id"]),
+    ]
+
+
 def event_problem(record: str = "record_json") -> Column:
     """What is wrong with an event's JSON, or null: unknown type, field set, integer fields (a boolean isn't one), version, time, ids."""
     j = lambda p: F.get_json_object(record, f"$.{p}")

@@ -620,7 +620,9 @@ def retention_blockers(spark: SparkSession, sf: str) -> DataFrame:
     done = spark.createDataFrame([(f"run-{i}",) for i in range(0, 20, 2)], "crawl_run_id string")
     consumers = spark.createDataFrame([("a", 300, None), ("b", 0, 400)], "consumer string, replay_window bigint, retired_at bigint")
     receipts = e.where("event_id % 3 <> 0").select("event_id", F.lit("a").alias("consumer")).unionByName(e.where("event_id % 5 <> 0").select("event_id", F.lit("b").alias("consumer")))
-    return frontier.prunable(e, done, consumers, receipts, now=1000)
+    recorded = reconcile.fingerprints(e.where("NOT (crawl_run_id = 'run-4' AND event_id % 500 = 24)"), ["crawl_run_id"], ["event_id"])
+    broken = reconcile.fingerprint_check(reconcile.fingerprints(e, ["crawl_run_id"], ["event_id"]), recorded, ["crawl_run_id"])
+    return frontier.prunable(e, done, consumers, receipts, now=1000, broken=broken)
 
 
 @query

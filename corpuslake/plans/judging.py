@@ -171,6 +171,43 @@ def dq_generation(spark: SparkSession, sf: str) -> DataFrame:
     return checked(spark, *quality.check_generation(catalog, postings, catalog.where("doc_id % 50 <> 9"))).drop("examples")
 
 
+@query("""WITH c AS (SELECT c_custkey AS k, sha256('p' || c_custkey::VARCHAR) AS id FROM customer), s AS (SELECT s_suppkey AS k, sha256('q' || s_suppkey::VARCHAR) AS id FROM supplier), g AS (SELECT count(DISTINCT c_mktsegment) AS n FROM customer)
+SELECT 'batch.identity' AS rule, (SELECT count(*) FROM c WHERE k % 40 = 1) AS failing UNION ALL SELECT 'batch.source', (SELECT count(*) FROM c WHERE k % 40 = 2) UNION ALL SELECT 'batch.content_hash', (SELECT count(*) FROM c WHERE k % 40 = 3) + (SELECT count(*) FROM s WHERE k % 5 = 3)
+UNION ALL SELECT 'batch.id_form', (SELECT count(*) FROM nation WHERE n_nationkey % 7 = 4) UNION ALL SELECT 'batch.operational', (SELECT count(*) FROM region WHERE r_regionkey IN (1, 2)) UNION ALL SELECT 'batch.unique', 1 UNION ALL SELECT 'batch.known_source', (SELECT count(*) FROM c WHERE k % 40 = 5)
+UNION ALL SELECT 'batch.known_page', (SELECT count(*) FROM nation WHERE n_nationkey % 7 = 6) UNION ALL SELECT 'batch.same_source', (SELECT count(*) FROM s JOIN customer ON c_custkey = 1 + k % 4 WHERE c_mktsegment <> 'BUILDING') + (SELECT count(*) FROM nation JOIN customer ON c_custkey = 1 WHERE n_nationkey % 7 <> 6 AND c_mktsegment <> 'BUILDING')
+UNION ALL SELECT 'batch.snapshot_record', 0 UNION ALL SELECT 'batch.crawl_manifest', 1 UNION ALL SELECT 'batch.crawl_sources', 1""")
+def dq_envelopes(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch with faults of each kind: ids, sources, hashes, forms, references, and a crawl manifest of another run that lists a source too many."""
+    sha = lambda p, c: F.sha2(F.concat(F.lit(p), c.cast("string")), 256)
+    c, s, n, r = (d.table(spark, sf, t) for t in ("customer", "supplier", "nation", "region"))
+    row = lambda df, t, i, src, doc: df.select(F.lit(t).alias("record_type"), i.alias("record_id"), src.alias("source_id"), F.to_json(doc).alias("record_json"))
+    k, seg = F.col("c_custkey"), F.col("c_mktsegment")
+    pid = sha("p", k)
+    text = F.concat(F.lit("t"), k.cast("string"))
+    own = F.when(k % 40 == 5, "nobody").otherwise(seg)
+    rows = row(c, "page", pid, own, F.struct(F.when(k % 40 == 1, "other").otherwise(pid).alias("page_id"), F.when(k % 40 == 2, "other").otherwise(own).alias("source_id"), text.alias("content_identity"), F.when(k % 40 == 3, "0").otherwise(F.sha2(text, 256)).alias("content_sha256")))
+    q = F.col("s_suppkey")
+    qid, building = sha("q", q), F.lit("BUILDING")
+    body = F.concat(F.lit("b"), q.cast("string"))
+    rows = rows.unionByName(row(s, "passage", qid, building, F.struct(qid.alias("passage_id"), sha("p", 1 + q % 4).alias("page_id"), building.alias("source_id"), body.alias("content"), F.when(q % 5 == 3, "0").otherwise(F.sha2(body, 256)).alias("content_sha256"))))
+    a = F.col("n_nationkey")
+    aid = F.when(a % 7 == 4, F.concat(F.lit("alias"), a.cast("string"))).otherwise(sha("a", a))
+    rows = rows.unionByName(row(n, "page_alias", aid, building, F.struct(aid.alias("alias_page_id"), building.alias("source_id"), F.when(a % 7 == 6, "none").otherwise(sha("p", F.lit(1))).alias("representative_page_id"))))
+    e = F.col("r_regionkey")
+    rows = rows.unionByName(row(r, "operational", e.cast("string"), F.lit(None).cast("string"), F.struct(F.when(e == 1, "v0").otherwise("v1").alias("schema_version"), F.when(e == 2, "run-2").otherwise("run-1").alias("run_id"))))
+    sources = c.select(seg).distinct()
+    rows = rows.unionByName(row(sources, "source", seg, seg, F.struct(seg.alias("source_id"))))
+    counts = {"page_count": c.count(), "alias_count": n.count(), "passage_count": s.count()}
+    numbers = [F.lit(v).alias(x) for x, v in counts.items()]
+    listed = sources.agg(F.array_append(F.collect_list(F.struct(seg.alias("source_id"))), F.struct(F.lit("extra").alias("source_id"))).alias("sources"))
+    said = [F.lit("complete").alias("status"), F.lit("s1").alias("snapshot_id")]
+    rows = rows.unionByName(row(spark.range(1), "snapshot", F.lit("s1"), F.lit(None).cast("string"), F.struct(*said, *numbers)))
+    rows = rows.unionByName(row(listed, "crawl_manifest", F.lit("m1"), F.lit(None).cast("string"), F.struct(*said, F.lit("sha").alias("manifest_sha256"), F.lit("run-9").alias("run_id"), "sources", F.struct(*numbers).alias("summary"))))
+    rows = keep(rows.unionByName(rows.where("record_type = 'operational' AND record_id = '0'")), "envelopes")
+    manifest = {"run_id": "run-1", "snapshot_id": "s1", "crawl_manifest_sha256": "sha", "operational_schema": "v1"} | counts
+    return checked(spark, *quality.check_envelopes(rows, manifest)).drop("examples")
+
+
 # ------------------------------------------------------------ recrawl policy
 def _recommendations(spark: SparkSession, sf: str) -> DataFrame:
     """Recommendations for customers: some with a basis that isn't theirs, of another policy version, of each validation status."""

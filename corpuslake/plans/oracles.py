@@ -301,7 +301,7 @@ UNION ALL SELECT 'unique.customer_status', (SELECT count(*) FROM (SELECT 1 FROM
 SELECT user_id, list_reduce(s, lambda a, x: CASE WHEN x IN (429, 503) THEN least(60000, CASE WHEN a >= 1000 THEN a * 2 ELSE 1000 END) WHEN x >= 500 THEN a WHEN a - a // 8 < 100 THEN 0 ELSE a - a // 8 END, 0)::INT AS backoff_ms, len(s) AS answers FROM l""",
     "result_acceptance": """WITH a AS (SELECT l_orderkey AS t, l_orderkey * 10 + l_linenumber AS seq, l_linenumber % 2 = 1 AND l_suppkey % 2 = l_orderkey % 2 AS live, l_quantity::INT AS p FROM lineitem), f AS (SELECT t, min(seq) AS seq FROM a WHERE live GROUP BY 1), g AS (SELECT f.t, f.seq, max(a.p) AS p FROM f JOIN a ON a.t = f.t AND a.seq = f.seq GROUP BY 1, 2)
 SELECT a.t AS task_id, a.seq, CASE WHEN NOT live THEN 'stale' WHEN a.seq = g.seq THEN 'accepted' WHEN a.p <> g.p THEN 'error' ELSE 'duplicate' END AS outcome FROM a LEFT JOIN g ON g.t = a.t""",
-    "retention_blockers": "SELECT event_id, 'run-' || (user_id % 20)::VARCHAR AS crawl_run_id FROM events WHERE user_id % 20 % 2 = 0 AND event_id % 1000 + 300 <= 1000 AND event_id % 3 <> 0 AND (event_id % 1000 >= 400 OR event_id % 5 <> 0)",
+    "retention_blockers": "SELECT event_id, 'run-' || (user_id % 20)::VARCHAR AS crawl_run_id FROM events WHERE user_id % 20 % 2 = 0 AND NOT (user_id % 20 = 4 AND EXISTS (SELECT 1 FROM events x WHERE x.user_id % 20 = 4 AND x.event_id % 500 = 24)) AND event_id % 1000 + 300 <= 1000 AND event_id % 3 <> 0 AND (event_id % 1000 >= 400 OR event_id % 5 <> 0)",
     "recrawl_schedule": """WITH p AS (SELECT c_custkey, c_custkey % 48 + 1 AS h, CASE WHEN c_custkey % 10 <> 0 THEN 946684800 - c_custkey * 600 + (c_custkey % 48 + 1) * 3600 ELSE 946684800 END AS d FROM customer) SELECT c_custkey AS source_id, d AS next_due, c_custkey % 6 <> 0 AND d <= 946684800 AS due FROM p""",
     "redirect_chains": """WITH RECURSIVE h AS (SELECT c_custkey::VARCHAR AS url, ((c_custkey * 7 + 3) % 200)::VARCHAR AS loc FROM customer),
 w AS (SELECT url, url AS cur, [url] AS chain, false AS looped FROM h UNION ALL SELECT w.url, h.loc, list_append(w.chain, h.loc), list_contains(w.chain, h.loc) FROM w JOIN h ON h.url = w.cur WHERE NOT looped AND len(chain) <= 10),

@@ -2,7 +2,10 @@
 
 import hashlib
 import json
+import os
 import random
+from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit, urlunsplit
 
 import numpy as np
 import pytest
@@ -468,3 +471,44 @@ def test_shingle_query_pairs_long_texts(spark, tmp_path):
     want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     got = {(r["left_doc_id"], r["right_doc_id"]): round(r["jaccard"], 6) for r in QUERIES["shingle_jaccard"](spark, str(tmp_path)).collect()}
     assert got == want and set(want) == {(0, 10), (1, 11), (2, 12)}
+
+
+class PageParts(HTMLParser):
+    """Title, language and links of a page, by another parser."""
+
+    def __init__(self, url):
+        super().__init__()
+        self.url, self.lang, self.title, self.inside, self.links = url, None, "", False, set()
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag == "html":
+            self.lang = a.get("lang")
+        if tag == "title":
+            self.inside = True
+        if tag == "a" and a.get("href"):
+            s = urlsplit(urljoin(self.url, a["href"].strip()))
+            if s.scheme in ("http", "https") and s.netloc and "@" not in s.netloc:
+                self.links.add(urlunsplit((s.scheme, s.netloc.lower(), s.path or "/", s.query, "")))
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "title"
+
+    def handle_data(self, data):
+        self.title += data if self.inside else ""
+
+
+def test_page_metadata_equals_another_parser(spark):
+    from corpuslake.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    got = {r["page_id"]: r for r in QUERIES["html_extract"](spark, sf).collect()}
+    for p in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        plain = PageParts(p["url"])
+        plain.feed(p["html"])
+        r = got.pop(p["page_id"])
+        assert (r["language"], r["title"], r["link_count"]) == (plain.lang, " ".join(plain.title.split()), len(plain.links)), p["page_id"]
+        assert (r["extraction_method"] is None) == (r["error"] is not None)
+    assert not got

@@ -113,8 +113,14 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return DENOMINATOR * shared >= NUMERATOR * (len(both) - shared)
 
 
-def as_set(data: bytes | None) -> np.ndarray:
-    return np.frombuffer(data or b"", np.uint64)
+def sets_in(column: pa.Array) -> list[np.ndarray]:
+    """The sets of a binary column, as views of its buffer."""
+    if not len(column):
+        return []
+    _, ends, data = column.buffers()
+    at = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    flat = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return [flat[a:z].view(np.uint64) for a, z in zip(at, at[1:])]
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
@@ -132,10 +138,10 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     centre, held = None, np.empty(0, np.uint64)
     for b in batches:
         a_out, b_out = [], []
-        for c, salt, role, m, found in zip(*[b.column(k).to_pylist() for k in ("c", "salt", "role", "m", "set")]):
+        for c, salt, role, m, found in zip(*[b.column(k).to_pylist() for k in ("c", "salt", "role", "m")], sets_in(b.column("set"))):
             if role == 0:
-                centre, held = (c, salt), as_set(found)
-            elif centre == (c, salt) and similar(held, as_set(found)):
+                centre, held = (c, salt), found.copy()
+            elif centre == (c, salt) and similar(held, found):
                 a_out.append(c)
                 b_out.append(m)
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
@@ -165,9 +171,9 @@ def overlap_bounds(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return np.minimum(a @ (b > 0).astype(np.float32).T, (a > 0).astype(np.float32) @ b.T)
 
 
-def _tile(rows: list[tuple[int, int, int, bytes]], same: bool) -> list[tuple[int, int]]:
+def _tile(rows: list[tuple[int, int, int, np.ndarray]], same: bool) -> list[tuple[int, int]]:
     """Links between components among the rows (side, id, label, set) of one tile: enough to join all that any of its links join."""
-    ids, labels, sets = [r[1] for r in rows], np.array([r[2] for r in rows]), [as_set(r[3]) for r in rows]
+    ids, labels, sets = [r[1] for r in rows], np.array([r[2] for r in rows]), [r[3] for r in rows]
     root = {x: x for x in labels.tolist()}
 
     def find(x: int) -> int:
@@ -203,7 +209,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
     for b in batches:
-        for bucket, i, j, side, id_, label, found in zip(*[b.column(c).to_pylist() for c in ("bucket", "i", "j", "side", "id", "label", "set")]):
+        for bucket, i, j, side, id_, label, found in zip(*[b.column(c).to_pylist() for c in ("bucket", "i", "j", "side", "id", "label")], sets_in(b.column("set"))):
             if (bucket, i, j) != now:
                 yield done()
                 now, rows = (bucket, i, j), []

@@ -174,7 +174,7 @@ def test_minhash_equals_brute_force(spark):
 def test_minhash_tiles_join_all_that_links_join(cut):
     sets = [minhash.shingles(t.encode()) for t in near_texts() if t and t.strip()]
     n = len(sets)
-    rows = [(0 if cut is None or i < cut else 1, i, i, x.tobytes()) for i, x in enumerate(sets)]
+    rows = [(0 if cut is None or i < cut else 1, i, i, x) for i, x in enumerate(sets)]
     across = lambda a, b: (cut is None or (a < cut) != (b < cut)) and minhash.similar(sets[a], sets[b])
     root = list(range(n))
     for a, b in minhash._tile(rows, cut is None):

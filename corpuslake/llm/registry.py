@@ -22,7 +22,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A token is a word here, so that SQL can say the same; the pipeline packs by the tokens of a tokenizer."""
+    """A token is a word here, so that SQL can say the same; ``packing.pack`` takes any column of lengths."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     return packing.pack(keep(docs, "lengths"), "n_words")  # texts are read once
 

@@ -12,12 +12,11 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-import public_tokenizers  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from corpuslake.llm import langid, minhash, packing, recompression, tokencounts  # noqa: E402
-from corpuslake.llm.registry import VOCABULARY  # noqa: E402
+from corpuslake.llm import langid, minhash, packing, recompression  # noqa: E402
+from corpuslake.llm.common import WORD  # noqa: E402
 from corpuslake.session import keep  # noqa: E402
 
 
@@ -51,9 +50,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bucket, batch and slot of every document, with its length in tokens of the unigram tokenizer."""
-    counted = tokencounts.count_tokens(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-    return packing.pack(keep(counted.select("doc_id", "n_tokens"), "lengths"), "n_tokens")  # texts are read once
+    """The bucket, batch and slot of every document, with its length in words, which are the tokens of the batches' budget (counted in the JVM: a tokenizer's workers would stay beside those of other stages)."""
+    counted = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    return packing.pack(keep(counted, "lengths"), "n_words")  # texts are read once
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("packing", packing_plan)]

@@ -48,6 +48,34 @@ class Files:
         finally:
             stream.close()
 
+    def size(self, p: str) -> int:
+        return self.fs.getFileStatus(self.path(p)).getLen()
+
+    def _copy(self, p: str, out) -> None:
+        stream = self.fs.open(self.path(p))
+        try:
+            self.jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20)
+        finally:
+            stream.close()
+
+    def digest(self, p: str) -> str:
+        """SHA-256 of a file of any size: the JVM reads it in pieces, none of which comes to Python."""
+        sha = self.jvm.java.security.MessageDigest.getInstance("SHA-256")
+        self._copy(p, self.jvm.java.security.DigestOutputStream(self.jvm.java.io.OutputStream.nullOutputStream(), sha))
+        return bytes(sha.digest()).hex()
+
+    def join(self, p: str, source: Files, parts: list[str]) -> str:
+        """Files of ``source`` moved into one, in order, in pieces as above; its SHA-256. Each goes once it is copied, so that the rows are on disk once."""
+        sha = self.jvm.java.security.MessageDigest.getInstance("SHA-256")
+        out = self.jvm.java.security.DigestOutputStream(self.fs.create(self.path(p)), sha)
+        try:
+            for x in parts:
+                source._copy(x, out)
+                source.delete(x)
+        finally:
+            out.close()
+        return bytes(sha.digest()).hex()
+
     def create_new(self, p: str, data: bytes) -> None:
         """Fails if the file is there: written aside, then renamed without overwriting (local files: linked, which is exclusive)."""
         if self.fs.exists(self.path(p)):

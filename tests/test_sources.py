@@ -1,5 +1,6 @@
 """Logs, data sources, streams, views and URLs, on small hand-made inputs."""
 
+import hashlib
 import io
 import json
 import sqlite3
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from corpuslake import views
 from corpuslake.functions import canonical, urls
 from corpuslake.operators import frontier, search
+from corpuslake.plans.catalogue import QUERIES
 from corpuslake.plans.storage import KEYS  # noqa: F401
 from corpuslake.session import numbered
 from corpuslake.sources import batches, plugins
-from corpuslake.sources.lake import Table
+from corpuslake.sources.lake import Files, Table
 from corpuslake.sources.log import Log
 from corpuslake.streaming import reduce as streaming
 
@@ -163,3 +165,24 @@ def test_receipts_of_complete_batches_only(spark):
     b = spark.createDataFrame([("b1", "complete", 3, "x", 0), ("b2", "processing", 1, "y", 0), ("b3", "complete", 2, "z", 1)], "batch_id string, status string, record_count int, records_sha256 string, quarantined int")
     r = frontier.write_receipts(b, "c")
     assert sorted(x["batch_id"] for x in r.collect()) == ["b1", "b3"] and [x["batch_id"] for x in frontier.receipts_complete(r, b).collect()] == ["b1"]
+
+
+@pytest.mark.parametrize("name", ["batch_pages"])
+def test_records_of_a_batch_never_come_to_the_driver(spark, monkeypatch, name):
+    read = Files.read
+    monkeypatch.setattr(Files, "read", lambda self, p: pytest.fail("records read whole") if p.endswith(batches.RECORDS) else read(self, p))
+    monkeypatch.setattr(type(spark.range(0)), "toLocalIterator", lambda *_: pytest.fail("records sent to the driver"))
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_a_batch_of_many_parts_is_one_file_in_order_or_none(spark, tmp_path):
+    rows = spark.range(5_000).repartition(7).select(*[F.lit("1").alias(c) for c in ("schema_version", "batch_id", "snapshot_id")], F.when(F.col("id") % 3 == 0, "page").otherwise("source").alias("record_type"), F.concat(F.lit("\u00e9"), F.col("id").cast("string")).alias("record_id"), F.lit("{}").alias("record_json"))
+    said = {"batch_id": "1", "snapshot_id": "1"}
+    with pytest.raises(batches.SourceError, match="larger"):
+        batches.publish_batch(spark, f"file://{tmp_path}/b0", rows, said, max_records=4_999)
+    assert not (tmp_path / "b0").exists()
+    made = batches.publish_batch(spark, f"file://{tmp_path}/b1", rows, said, max_records=5_000)
+    raw = (tmp_path / "b1" / batches.RECORDS).read_bytes()
+    keys = [(r["record_type"], r["record_id"]) for r in map(json.loads, raw.decode().splitlines())]
+    assert keys == sorted(keys) and len(set(keys)) == 5_000 and made["counts"] == {"page": 1_667, "source": 3_333}
+    assert made["records_bytes"] == len(raw) and made["records_sha256"] == hashlib.sha256(raw).hexdigest() and batches.validate_batch(spark, f"file://{tmp_path}/b1")[0] == made

@@ -167,7 +167,7 @@ def test_receipts_of_complete_batches_only(spark):
     assert sorted(x["batch_id"] for x in r.collect()) == ["b1", "b3"] and [x["batch_id"] for x in frontier.receipts_complete(r, b).collect()] == ["b1"]
 
 
-@pytest.mark.parametrize("name", ["batch_pages", "near_sidecar", "batch_load", "batch_passages"])
+@pytest.mark.parametrize("name", ["batch_pages", "near_sidecar", "batch_load", "batch_passages", "dq_snapshot"])
 def test_records_of_a_batch_never_come_to_the_driver(spark, monkeypatch, name):
     read = Files.read
     monkeypatch.setattr(Files, "read", lambda self, p: pytest.fail("records read whole") if p.endswith(batches.RECORDS) else read(self, p))

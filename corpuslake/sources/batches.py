@@ -7,15 +7,17 @@ import json
 from dataclasses import dataclass, field
 from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuslake.session import numbered, scratch_path, shared_dir
+from corpuslake.session import keep, numbered, scratch_path, shared_dir
 from corpuslake.sources.lake import Files
 
 ENVELOPE = "schema_version string, batch_id string, snapshot_id string, snapshot_manifest_sha256 string, crawl_manifest_sha256 string, record_type string, record_id string, source_id string, record_json string, _corrupt string"
 RECORD_TYPES = ("snapshot", "source", "page", "passage", "page_alias", "crawl_manifest", "operational")
 EVENT_TYPES = ("capture_committed", "crawl_completed", "corpus_snapshot_published")
+#: A character that isn't white space, as Python's ``strip`` has it.
+NOT_BLANK = r"[^\s\x1c-\x1f\x85\p{Z}]"
 MARKER, MANIFEST, RECORDS = "_PUBLISHED", "batch-manifest.json", "records.jsonl"
 
 
@@ -29,9 +31,16 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``ref, line`` of text files without blank lines; ref is file:line, counted within each file. Files are read whole, one row each."""
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("at", "line"))
-    return files.where(F.trim("line") != "").select(F.concat_ws(":", "file", (F.col("at") + 1).cast("string")).alias("ref"), "line")
+    """``ref, line`` of text files without blank lines; ref is file:line, counted within each file.
+
+    Files are read in splits. A line's number is its place in its split after the lines of the file's splits before it; lines are written once, as another scan may be split otherwise.
+    """
+    kept = keep(spark.read.text(path).select(F.input_file_name().alias("__path"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"), F.col("value").alias("line")), "lines")
+    splits = kept.groupBy("__path", "__start").agg(F.count("*").alias("__count"), F.min("__at").alias("__first"))
+    before = Window.partitionBy("__path").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
+    offsets = splits.select("__path", "__start", (F.coalesce(F.sum("__count").over(before), F.lit(0)) - F.col("__first") + 1).alias("__add"))
+    name, number = F.element_at(F.split("__path", "/"), -1), (F.col("__at") + F.col("__add")).cast("string")
+    return kept.where(F.col("line").rlike(NOT_BLANK)).join(F.broadcast(offsets), ["__path", "__start"]).select(F.concat_ws(":", name, number).alias("ref"), "line")
 
 
 def stream_lines(spark: SparkSession, stream) -> DataFrame:

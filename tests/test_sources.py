@@ -186,3 +186,33 @@ def test_a_batch_of_many_parts_is_one_file_in_order_or_none(spark, tmp_path):
     keys = [(r["record_type"], r["record_id"]) for r in map(json.loads, raw.decode().splitlines())]
     assert keys == sorted(keys) and len(set(keys)) == 5_000 and made["counts"] == {"page": 1_667, "source": 3_333}
     assert made["records_bytes"] == len(raw) and made["records_sha256"] == hashlib.sha256(raw).hexdigest() and batches.validate_batch(spark, f"file://{tmp_path}/b1")[0] == made
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_lines_are_numbered_across_splits(spark, tmp_path, monkeypatch, end):
+    text = type(spark.read).text
+    monkeypatch.setattr(type(spark.read), "text", lambda self, *a, **b: pytest.fail("a file as one row") if b.get("wholetext") else text(self, *a, **b))
+    want = []
+    for name, n in (("a.jsonl", 400), ("b.jsonl", 3), ("c.jsonl", 150)):
+        lines = ["" if i % 7 == 3 else " \t" if i % 11 == 5 else f"line {i} \u00e9" * (i % 5 + 1) for i in range(1, n + 1)]
+        (tmp_path / name).write_bytes(end.join(lines).encode())
+        want += [(f"{name}:{i}", x) for i, x in enumerate(lines, 1) if x.strip()]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(old, ("97", "1")):
+            spark.conf.set(k, v)
+        assert sorted(map(tuple, batches.text_lines(spark, f"file://{tmp_path}").collect())) == sorted(want)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    plugins.register(spark)
+    assert sorted(map(tuple, spark.read.format("event_lines").load(f"file://{tmp_path}").collect())) == sorted(want)
+
+
+def test_event_lines_are_read_from_stores_that_are_not_local(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    (tmp_path / "a.jsonl").write_text("one\n\ntwo")
+    monkeypatch.setattr(plugins, "store", lambda _: (fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), ""))
+    reader = plugins.EventLinesReader("other://store/in")
+    assert [x for p in reader.partitions() for x in reader.read(p)] == [("a.jsonl:1", "one"), ("a.jsonl:3", "two")]

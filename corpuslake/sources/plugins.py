@@ -6,7 +6,7 @@ a ``DataSource`` of one's own, or an ``EventSource``: whatever has ``records(spa
 
 from __future__ import annotations
 
-import glob
+import io
 import os
 from typing import Protocol
 
@@ -28,6 +28,13 @@ def local(path: str) -> str:
     return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
 
+def store(path: str):
+    """The Arrow file system of a path and the path there: local or any store that Arrow reaches."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path and not path.startswith("file:") else (fs.LocalFileSystem(), local(path))
+
+
 class EventSource(Protocol):
     """Anything that gives event lines with where they come from. Delivery may be at least once."""
 
@@ -81,18 +88,25 @@ class EventLines(DataSource):
 
 class EventLinesReader(DataSourceReader):
     def __init__(self, path: str) -> None:
-        self.path = local(path)
+        self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        names = sorted(glob.glob(f"{self.path}/*")) if os.path.isdir(self.path) else [self.path]
+        from pyarrow.fs import FileSelector, FileType
+
+        files, top = store(self.path)
+        kind = files.get_file_info(top).type
+        if kind == FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        names = sorted(x.path for x in files.get_file_info(FileSelector(top)) if x.type == FileType.File) if kind == FileType.Directory else [top]
         return [InputPartition(x) for x in names if os.path.basename(x)[0] not in "._"] or [InputPartition(None)]
 
     def read(self, partition: InputPartition):
         if partition.value is not None:
-            with open(partition.value, encoding="utf-8") as f:
+            name = os.path.basename(partition.value)
+            with io.TextIOWrapper(io.BufferedReader(store(self.path)[0].open_input_stream(partition.value), 1 << 20), encoding="utf-8") as f:
                 for number, line in enumerate(f, 1):
                     if line.strip():
-                        yield f"{os.path.basename(partition.value)}:{number}", line.rstrip("\r\n")
+                        yield f"{name}:{number}", line.rstrip("\r\n")
 
 
 class CaptureSpool(DataSource):

@@ -244,6 +244,16 @@ def test_packed_postings_are_those_of_plain_counting(spark, tmp_path):
         assert stats["body"] == (60, sum(len(b.split()) for b in bodies) / 60)
 
 
+def test_phrases_are_met_by_lists_of_starts(spark):
+    bodies, catalog = _catalog_of(spark)
+    asked = spark.createDataFrame([(1, '"w1 w2"'), (2, '"w1 w1"'), (3, '"w3 w2 w4" w1')], "query_id bigint, query string")
+    made = search.keyword_topk(*search.build_postings(catalog, ("body",), asked), asked, 100)
+    assert "explode(positions" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {k: {r["passage_id"] for r in made.collect() if r["query_id"] == k} for k in (1, 2, 3)}
+    has = lambda *p: {i for i, b in enumerate(bodies) if f" {' '.join(p)} " in f" {b} "}
+    assert got == {1: has("w1", "w2"), 2: has("w1", "w1"), 3: has("w3", "w2", "w4") | has("w1")}
+
+
 def test_an_index_is_packed_and_moves_no_postings(spark, tmp_path):
     _, catalog = _catalog_of(spark)
     search.write_index(catalog, f"file://{tmp_path}/i", ("title", "body"), 4)
